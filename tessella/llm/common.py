@@ -90,21 +90,24 @@ def append_struct(df: DataFrame, text_col: str, fields: list[T.StructField], int
     return map_slices(df, T.StructType([*df.schema.fields, T.StructField(into, T.StructType(fields))]), build)
 
 
-def sample_texts(frame: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_chars: int) -> list[tuple[str, object]]:
-    """A training sample of at most ``max_rows`` rows and ``max_chars`` characters, in the order of a hash of the id.
+def sample_texts(labelled: DataFrame, docs: DataFrame, id_col: str, label_col: str, text_col: str, per_label: int, max_chars: int, max_labels: int = 200) -> list[tuple[str, object]]:
+    """A bounded training sample: ``per_label`` rows of each label, in the order of a hash of the id.
 
-    Ids and lengths are chosen first, so that only the chosen texts travel to the driver. Rows
-    without a label or text take no part; the same rows come back at any partitioning.
+    ``labelled`` holds ids and labels, ``docs`` ids and texts. The ids are chosen first, from two narrow
+    columns (each task sends at most ``per_label`` of them), so only chosen texts travel to the driver,
+    and of these none longer than ``max_chars``. Rows without label or text take no part. The sample
+    does not depend on partitioning.
     """
-    usable = frame.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit(17))
-    chosen, total = [], 0
-    for row in usable.select(F.col(id_col).alias("i"), F.length(text_col).alias("n"), key.alias("k")).orderBy("k", "i", "n").limit(max_rows).collect():
-        if total + row["n"] <= max_chars:
-            chosen.append(row["i"])
-            total += row["n"]
+    usable = labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).alias("y"))
+    labels = sorted(r["y"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(max_labels).collect())
+    key = F.xxhash64(F.col("i").cast("string"), F.lit(17))
+    chosen = {r["i"]: y for y in labels for r in usable.where(F.col("y") == y).select("i").orderBy(key, "i").limit(per_label).collect()}
     if not chosen:
         return []
-    rows = usable.where(F.col(id_col).isin(chosen)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("y"), key.alias("k")).collect()
-    rows.sort(key=lambda r: (r["k"], r["i"], r["t"]))
-    return [(r["t"], r["y"]) for r in rows[:max_rows]]
+    rows = docs.where(F.col(id_col).isin(list(chosen)) & (F.length(text_col) <= max_chars)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).collect()
+    return [(r["t"], chosen[r["i"]]) for r in sorted(rows, key=lambda r: (r["i"], r["t"]))]
+
+
+def remainder(id_col: str, n: int):
+    """crc32 of the id as text, modulo ``n``."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, langid
+from .common import remainder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = remainder("doc_id", 4) == 2
+    model = langid.fit(docs.where(~held).select("doc_id", "text", "lang"))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.positions").alias("positions"), F.col("language.agreement").alias("agreement"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
     return coded.select(
