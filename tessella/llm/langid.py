@@ -201,6 +201,8 @@ def train(samples: list[tuple[str, str]], steps: int = 220, batch: int = 128, ra
         for step in range(1, steps + 1):
             y = np.arange(batch) % k
             x = np.stack([pools[j][rng.integers(len(pools[j]))] for j in y])
+            # A quarter of the windows are cut short, as short texts are.
+            x *= np.arange(WINDOW) < np.where(rng.random(batch) < 0.25, rng.integers(4, WINDOW, batch), WINDOW)[:, None]
             _, grads = loss_and_gradients(m, x, y)
             for name, g in grads.items():
                 first[name] = 0.9 * first.get(name, 0) + 0.1 * g

@@ -14,7 +14,7 @@ def texts(lang, n):
 
 @pytest.fixture(scope="module")
 def model():
-    return langid.train([(t, y) for y in WORDS for t in texts(y, 30)], steps=60)
+    return langid.train([(t, y) for y in WORDS for t in texts(y, 30)], steps=100)
 
 
 def test_gradients_equal_differences():
@@ -80,7 +80,7 @@ def test_long_and_tied(model):
 
 
 def test_operator_keeps_columns_and_rows(spark, model):
-    docs = spark.createDataFrame([(1, None, "x"), (2, "lomi rata", "y"), (2, "lomi rata", "y"), (None, "ürk vrrn", None)], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(1, None, "x"), (2, "lomi rata semo lomi", "y"), (2, "lomi rata semo lomi", "y"), (None, "ürk vrrn zzöt ürk", None)], "doc_id long, text string, score string")
     rows = langid.identify(docs, model).collect()
     assert sorted((str(r.doc_id), r.language.lang_pred, str(r.score)) for r in rows) == [("1", "und", "x"), ("2", "aa", "y"), ("2", "aa", "y"), ("None", "bb", "None")]
     assert langid.identify(docs.limit(0), model).count() == 0
