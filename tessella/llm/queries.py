@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, toxicity
+from . import bpe, langid, neardup, quality, toxicity
 from .common import remainder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id")
+
+
 def _scored(spark: SparkSession, sf_dir: str, kind, label_col: str, threshold: float) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = remainder("doc_id", 5) == 0
