@@ -22,16 +22,19 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.positions").alias("positions"), F.col("language.agreement").alias("agreement"))
 
 
-def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+def bpe_digests(coded: DataFrame, into: str = "bpe") -> DataFrame:
     return coded.select(
         "doc_id",
-        F.expr("cast(octet_length(bpe.ids) div 4 as bigint)").alias("n_tokens"),
-        F.sha2("bpe.ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("bpe.decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.expr(f"cast(octet_length({into}.ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2(f"{into}.ids", 256).alias("ids_sha256"),
+        F.sha2(F.col(f"{into}.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.item_id", F.round("l.score", 6).alias("score"), "l.overlap", "l.question_overlap", "l.answer_overlap")
