@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, quality, topk, toxicity
+from . import bpe, decontam, langid, neardup, quality, recount, topk, toxicity
 from .common import remainder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +58,13 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id")
 
 
+def op8_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after a fixed script of three edits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", recount.sample_edits(F.col("text")).alias("edits"))
+    found = recount.recount(docs, "edits", TOKENIZER)
+    return found.select("doc_id", F.col("recount.before").alias("n_tokens"), F.col("recount.after").alias("n_tokens_after"), F.col("recount.encoded_chars").alias("encoded_chars"), F.sha2(F.col("recount.edited").cast("binary"), 256).alias("edited_sha256"))
+
+
 def _scored(spark: SparkSession, sf_dir: str, kind, label_col: str, threshold: float) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = remainder("doc_id", 5) == 0
