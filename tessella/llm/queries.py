@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, neardup, quality, recount, topk, toxicity
+from . import bpe, decontam, langid, licenses, neardup, quality, recount, threads, topk, toxicity
 from .common import remainder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER))
 
 
+def op3_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads.format_threads(table(spark, sf_dir, "conversations"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors, 20)
@@ -92,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL}
+    return {"op3_threads": threads.SQL, "op4_topk": OP4_SQL}
