@@ -221,9 +221,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without near copies: of each class the row with the class's smallest id stays.
 
-    Rows without an id are kept unless they have words (they are then copies of no row that could be named).
+    Rows without an id all stay, as none of them can be named; so do repeated rows of an id that stays.
     """
-    found = classes(docs, id_col, text_col, threshold)
     name = fresh(docs, "_kept")
-    first = found.where((F.col("id") == F.col("class_id")) | (F.col("id").isNull() & F.col("key").isNull())).select(F.col("id").alias(name)).distinct()
-    return docs.join(first, docs[id_col].eqNullSafe(first[name]), "left_semi")
+    first = classes(docs, id_col, text_col, threshold).where(F.col("id") == F.col("class_id")).select(F.col("id").alias(name)).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    return named.join(first, named[id_col] == first[name], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

@@ -114,6 +114,11 @@ def test_keep_one_keeps_columns_and_a_row_of_each_class(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in brute(rows)})
 
 
+def test_keep_one_never_drops_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "a b c d e f g"), (None, None), (4, "a b c d e f g"), (6, "A b, c d e f g"), (6, "A b, c d e f g"), (9, None)], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in neardup.keep_one(df).collect()) == ["4", "9", "None", "None"]
+
+
 def test_components_of_chains_hubs_and_loops(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
