@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def save_params(spark: SparkSession, params: dict, path: str) -> None:
+def save_params(spark: SparkSession, params: dict | list, path: str) -> None:
     spark.createDataFrame([(json.dumps(params),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_params(spark: SparkSession, path: str) -> dict:
+def load_params(spark: SparkSession, path: str) -> dict | list:
     """The first non-empty line under ``path``."""
     row = spark.read.text(path).where(F.trim("value") != "").first()
     if row is None:
