@@ -19,7 +19,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = remainder("doc_id", 4) == 2
     model = langid.fit(docs.where(~held).select("doc_id", "text", "lang"))
     found = langid.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held.alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.positions").alias("positions"), F.col("language.agreement").alias("agreement"))
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.positions").alias("positions"), F.col("language.agreement").alias("agreement"))
 
 
 def bpe_digests(coded: DataFrame, into: str = "bpe") -> DataFrame:
@@ -80,7 +80,7 @@ def _scored(spark: SparkSession, sf_dir: str, kind, label_col: str, threshold: f
     held = remainder("doc_id", 5) == 0
     model = kind.fit(labels.where(~held).select("doc_id", label_col), docs.select("doc_id", "text"))
     found = kind.score(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held.alias("held_out"), F.col("result.score").alias("score"), (F.col("result.score") >= threshold).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("result.score").alias("score"), (F.col("result.score") >= threshold).cast("int").alias("predicted"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
