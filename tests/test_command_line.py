@@ -9,7 +9,7 @@ from tessella.__main__ import main
 from tessella.sources.params import load_params
 
 #: Example rows and the labels and estimates that belong to them.
-TRAIN = "1,1.0,1.1,1\n2,1.4,1.6,1\n3,1.9,2.4,1\n4,6.0,7.1,0\n5,7.5,8.8,0\n6,8.4,9.0,0\n"
+TRAIN = "0,1,2,1\n1,0,1,1\n2,1,1,1\n3,10,9,0\n4,8,7,0\n5,6,9,0\n"
 POINTS = "0.98,1.34\n6.08,7.54\n8.42,9.23\n1.56,2.46\n1.56,2.46\n"
 
 
