@@ -12,11 +12,12 @@ read only while it can still beat the latest of them. Two documents agree in a p
 probability equal to their similarity.
 
 Documents with equal words are one node from the start, so exact copies cost one row each. Nodes
-that share a band of the signature are candidates, and candidates count only if their whole bags
-are at least ``threshold`` similar. A band bucket is never expanded into pairs at first: its members
-are compared with one centre, and again with other centres while members remain that no link joins;
-only pairs that are still in different components when few are left are compared one by one. So
-classes are the components of the graph of all verified candidate links.
+that share a band of the signature and whose bags' sizes allow the threshold are candidates. A bucket of
+candidates is a star around its least node, never all its pairs; components of these stars are families.
+All members of a family are compared by their whole bags: a family is dealt to blocks of bounded
+size, pairs of blocks are joined by key, and a block pair counts all overlaps at once as products of
+indicator matrices. Of the links found, those that connect something new are kept. Classes are the components of all
+links, so no link between members of one family is lost, whatever the family's size, and no pair of documents is ever a row.
 
 Texts without words are a class each. Texts of one to four words have one shingle of all their words.
 Rows without an id take part as exact copies only. A class is named by its smallest id.
@@ -37,8 +38,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 COMPONENTS = BANDS * ROWS
-#: Rounds with new centres before the pairs that are left are compared one by one.
-CENTRE_ROUNDS = 6
+#: Bounds of a block of a family: documents and bytes of bags, both met on average.
+BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 20
+#: Columns of an indicator matrix at a time.
+COLUMNS = 4096
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,10 +139,11 @@ def _sign():
         words = [WORD.findall(t.lower()) if t else [] for t in batch.column(1).to_pylist()]
         long = [i for i, w in enumerate(words) if len(w) > SHINGLE]
         bands: list = [None] * len(words)
+        sizes = [max(0, len(w) - SHINGLE + 1) for w in words]
         if long:
             for i, b in zip(long, band_hashes(signatures([shingles(words[i]) for i in long])), strict=True):
                 bands[i] = b
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([key_of(w) for w in words], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([key_of(w) for w in words], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["id", "key", "bands", "size"])
 
     return handle
 
@@ -152,65 +156,100 @@ def _bag():
     return handle
 
 
-def _compare():
-    def handle(batch: pa.RecordBatch):
-        left, right = (batch.column(i).to_pylist() for i in (2, 3))
-        found = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(left, right, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common elements of every pair of sorted sets, as sums of products of indicator matrices."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    elements = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right)]
+    common = np.intersect1d(np.unique(elements[0]), np.unique(elements[1]), assume_unique=True)
+    sides = []
+    for x, whole in zip((left, right), elements, strict=True):
+        owner = np.repeat(np.arange(len(x)), [len(a) for a in x])
+        at = np.searchsorted(common, whole)
+        at[at == len(common)] = 0
+        hit = common[at] == whole if len(common) else np.zeros(len(whole), bool)
+        sides.append((owner[hit], at[hit]))
+    for start in range(0, len(common), COLUMNS):
+        parts = []
+        for (owner, at), x in zip(sides, (left, right), strict=True):
+            mine = (at >= start) & (at < start + COLUMNS)
+            m = np.zeros((len(x), min(COLUMNS, len(common) - start)), np.float32)
+            m[owner[mine], at[mine] - start] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
 
-    return handle
+
+def forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """Those of the pairs that join two parts; they connect all that the pairs connect."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            out.append((a, b))
+    return out
+
+
+def block_links(left: list[dict], right: list[dict] | None, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links that connect the documents of a block, or of two blocks, with at least ``threshold`` similarity."""
+    same = right is None
+    right = left if same else right
+    bags = [[np.frombuffer(r["bag"], np.uint64) for r in side] for side in (left, right)]
+    both = overlaps(*bags)
+    sizes = [np.array([len(b) for b in side], np.float64) for side in bags]
+    similar = both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-6
+    rows, columns = np.nonzero(np.triu(similar, 1) if same else similar)
+    shift = 0 if same else len(left)
+    keys = [r["key"] for r in left] + ([] if same else [r["key"] for r in right])
+    return [(keys[a], keys[b]) for a, b in forest([(int(a), int(b) + shift) for a, b in zip(rows, columns, strict=True)], len(keys))]
+
+
+def _link(threshold: float):
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                left, right = (batch.column(i)[at].as_py() for i in (0, 1))
+                found = block_links(left, right, threshold)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+
+    return run
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id, key, class_id``: a row per document. ``key`` is a hash of its words (null without words)."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = stash(map_slices(source, f"id {source.schema['id'].dataType.simpleString()}, key binary, bands array<long>", _sign), "signed")
-    nodes = stash(signed.where("key is not null and bands is not null").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")).where("rep is not null"), "nodes")
-    spread = nodes.select("key", F.explode("bands").alias("band"))
-    crowded = spread.groupBy("band").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stash(spread.join(crowded.select("band", "centre"), "band"), "members")
-    involved = members.select("key").distinct()
-    wanted = involved.join(nodes.select("key", "rep"), "key").select(F.col("rep").alias("id")).distinct()
+    signed = stash(map_slices(source, f"id {source.schema['id'].dataType.simpleString()}, key binary, bands array<long>, size long", _sign), "signed")
+    nodes = stash(signed.where("key is not null and bands is not null").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size")).where("rep is not null"), "nodes")
+    spread = nodes.select("key", "size", F.explode("bands").alias("band"))
+    crowded = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    # Bags that can be similar enough share one of two neighbouring classes of sizes.
+    grade = F.floor(F.log("size") / F.lit(-np.log(threshold))).cast("int")
+    members = stash(spread.join(crowded, "band", "left_semi").select("key", "band", F.explode(F.array(grade, grade + 1)).alias("grade")), "members")
+    centres = members.groupBy("band", "grade").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "grade", "centre")
+    stars = members.join(centres, ["band", "grade"]).where("key != centre").select(F.col("key").alias("a"), F.col("centre").alias("b"))
+    families = stash(components(stars).select(F.col("node").alias("key"), F.col("component").alias("family")), "families")
+    unstash(members)
+    wanted = families.select("key").join(nodes.select("key", "rep"), "key").select(F.col("rep").alias("id")).distinct()
     texts = source.join(wanted, "id", "left_semi").select("text")
-    bags = stash(map_slices(texts, "key binary, bag binary", _bag).join(involved, "key", "left_semi").dropDuplicates(["key"]), "bags")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = bags.select(F.col("key").alias("a"), F.col("bag").alias("bag_a"))
-        right = bags.select(F.col("key").alias("b"), F.col("bag").alias("bag_b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "bag_a", "bag_b")
-        return map_slices(both, "a binary, b binary, similarity double", _compare)
-
-    def ordered(x: str, y: str) -> list:
-        return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
-
-    tried = stash(verified(members.where("key != centre").select(*ordered("key", "centre")).distinct()), "tried")
-    held = [tried]
-    for turn in range(CENTRE_ROUNDS + 1):
-        parts = stash(components(tried.where(F.col("similarity") >= threshold)), "components")
-        placed = members.select("band", "key").join(parts.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
-        split = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
-        loose = stash(placed.join(split, "band", "left_semi"), "loose")
-        sizes = loose.groupBy("band", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        left = sizes.groupBy("band").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("p")).agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("buckets")).first()
-        unstash(parts)
-        held.append(loose)
-        if not left["p"]:
-            break
-        few = left["p"] / 2 <= 4 * loose.count()
-        if few or turn == CENTRE_ROUNDS:
-            x, y = loose.alias("x"), loose.alias("y")
-            pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") > F.col("y.key")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        else:
-            order = F.xxhash64("key", F.lit(turn))
-            centres = loose.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("key"), F.col("component"))).alias("c"), F.max(F.struct(order.alias("o"), F.col("key"), F.col("component"))).alias("d"))
-            met = loose.join(centres.select("band", F.explode(F.array("c", "d")).alias("c")), "band").where("component != c.component")
-            pairs = met.select("key", F.col("c.key").alias("other")).select(*ordered("key", "other"))
-        new = pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        tried = stash(tried.union(verified(new)), "tried")
-        held.append(tried)
-        if few or turn == CENTRE_ROUNDS:
-            break
-    links = components(tried.where(F.col("similarity") >= threshold))
+    bags = stash(map_slices(texts, "key binary, bag binary", _bag).join(families, "key").dropDuplicates(["key"]), "bags")
+    sizes = bags.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("bag")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = bags.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    packed = stash(dealt.groupBy("family", "blocks", "block").agg(F.collect_list(F.struct("key", "bag")).alias("docs")), "packed")
+    alone = packed.select(F.col("docs").alias("left"), F.lit(None).cast(packed.schema["docs"].dataType).alias("right"))
+    left = packed.where("block + 1 < blocks").select("family", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), F.col("docs").alias("left"))
+    pairs = left.join(packed.select("family", "block", F.col("docs").alias("right")), ["family", "block"]).select("left", "right")
+    linked = alone.union(pairs).mapInArrow(_link(threshold), "a binary, b binary")
+    links = components(linked)
+    unstash(bags)
     named = nodes.select("key", "rep").join(links.withColumnRenamed("node", "key"), "key").groupBy("component").agg(F.min("rep").alias("least"))
     joined = stash(links.join(named, "component").select(F.col("node").alias("key"), "least"), "joined")
     exact = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("least"))
