@@ -15,12 +15,13 @@ BROADCAST_NUMBERS = 1_000_000
 GRID_BUCKETS = 64
 
 
-def neighbours(train: DataFrame, queries: DataFrame, k: int, train_id: str, query_id: str, x: Sequence[str] | None = None, vector: str | None = None, dimensions: int = 0, label: str | None = None, rounded: int | None = None) -> DataFrame:
+def neighbours(train: DataFrame, queries: DataFrame, k: int, train_id: str, query_id: str, x: Sequence[str] | None = None, vector: str | None = None, dimensions: int = 0, label: str | None = None, rounded: int | None = None, leave_out_own: bool = False) -> DataFrame:
     """``query_id, rank, train_id, d2[, label]``: the k rows with the smallest squared distance, ties to the smaller id.
 
     Each task keeps its own k best per query before the shuffle (WindowGroupLimit), which then moves
     k rows per task and query. Give features as the columns ``x`` of both sides or as an array column ``vector``.
-    ``rounded`` rounds distances before they are compared.
+    ``rounded`` rounds distances before they are compared. ``leave_out_own`` is for queries that are
+    training rows themselves: a row is then no neighbour of the query with its id.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -37,6 +38,8 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, train_id: str, quer
         both = t.crossJoin(F.broadcast(q))
     else:
         both = t.withColumn("bucket", F.pmod(F.xxhash64("t_id"), F.lit(GRID_BUCKETS)).cast("int")).join(q.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(GRID_BUCKETS - 1)))), "bucket")
+    if leave_out_own:
+        both = both.where("q_id != t_id")
     d2 = squared_distance([F.col(f"t{i}") for i in range(d)], [F.col(f"q{i}") for i in range(d)])
     scored = both.select("q_id", "t_id", (F.round(d2, rounded) if rounded is not None else d2).alias("d2"), *(["t_label"] if label else []))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("d2", "t_id"))).where(F.col("rank") <= k)

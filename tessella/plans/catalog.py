@@ -335,6 +335,42 @@ def knn_2d_parts(spark, sf_dir):
     return near.withColumn("d2", F.col("d2") + F.lit(0.0))
 
 
+# The same over the whole tables: every id divisible by 20 is a query, all rows but its own are training rows.
+
+_NEAR_ALL = """with e as (select vec_id, label, embedding::double[] v from embeddings),
+d as (select q.vec_id qid, t.vec_id, t.label, round(list_sum(list_transform(range(1,65), lambda i: (t.v[i]-q.v[i])*(t.v[i]-q.v[i]))),9) d2 from e t, e q where q.vec_id % 20 = 0 and t.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by qid order by d2, vec_id) rn from d qualify rn <= 5) """
+
+
+def _near_all(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return neighbors.neighbours(e, e.where("vec_id % 20 = 0"), 5, "vec_id", "vec_id", vector="embedding", dimensions=64, label="label", rounded=9, leave_out_own=True)
+
+
+@query(_NEAR_ALL + "select qid query_id, rn::int as rank, vec_id train_id, d2+0.0 d2, label from r")
+def knn_neighbours_embeddings_all(spark, sf_dir):
+    return _near_all(spark, sf_dir).withColumn("d2", F.col("d2") + F.lit(0.0))
+
+
+@query(_NEAR_ALL + "select qid query_id, label from (select qid, label, row_number() over (partition by qid order by count(*) desc, label) w from r group by qid, label) where w = 1")
+def knn_classify_embeddings_all(spark, sf_dir):
+    return neighbors.classify(_near_all(spark, sf_dir))
+
+
+@query(_NEAR_ALL + "select qid query_id, round(avg(label),6)+0.0 estimate from r group by qid")
+def knn_regress_embeddings_all(spark, sf_dir):
+    return neighbors.regress(_near_all(spark, sf_dir)).select("query_id", rounded("estimate").alias("estimate"))
+
+
+@query("""with p as (select p_partkey id, p_size::double a, p_retailprice/1000 b from part),
+d as (select q.id query_id, t.id train_id, round((t.a-q.a)*(t.a-q.a)+(t.b-q.b)*(t.b-q.b),9) d2 from p t, p q where q.id % 20 = 0 and t.id <> q.id)
+select query_id, row_number() over (partition by query_id order by d2, train_id)::int as rank, train_id, d2+0.0 d2 from d qualify rank <= 3""")
+def knn_2d_parts_all(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 1000).alias("b"))
+    near = neighbors.neighbours(part, part.where("id % 20 = 0"), 3, "id", "id", x=["a", "b"], rounded=9, leave_out_own=True)
+    return near.withColumn("d2", F.col("d2") + F.lit(0.0))
+
+
 @query("select o_orderkey, round(o_totalprice,2)+0.0 total from orders order by md5('42|'||o_orderkey::varchar), o_orderkey limit 100")
 def sample_n_orders(spark, sf_dir):
     return sampling.sample_n(table(spark, sf_dir, "orders"), 100, seed=42, key="o_orderkey").select("o_orderkey", rounded("o_totalprice", 2).alias("total"))
