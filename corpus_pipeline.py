@@ -41,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     into = fresh(docs, "_leaks")
-    return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), into=into).where(F.size(into) == 0).drop(into)
+    return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), into=into, by_question=True).where(F.size(into) == 0).drop(into)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

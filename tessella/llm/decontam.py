@@ -12,6 +12,9 @@ at once; only passages that can still reach some threshold are queried.
 
 An item is verified if at least ``overlap`` of its five-word shingles occur in the passage. Its question and
 answer (given as columns, or the text before and after its last line or sentence break) get an overlap of their own.
+With ``by_question`` an item also counts where at least ``overlap`` of its question's shingles occur, with or without
+the answer (``answer_overlap`` tells), and its threshold is the weaker of the two conditions'. A question of
+less than one full shingle says too little and leaves its item to be judged as a whole.
 Items without words match nothing. Null and empty documents hold nothing. Items and documents may repeat; every
 row of documents is reported with each item once.
 """
@@ -61,12 +64,13 @@ def held_share(part: list[tuple], there: set) -> float:
 class ItemIndex:
     """``items``: (id, text, question, answer)."""
 
-    def __init__(self, items: list[tuple[int, str, str, str]], overlap: float = OVERLAP):
+    def __init__(self, items: list[tuple[int, str, str, str]], overlap: float = OVERLAP, by_question: bool = False):
         split = [(i, WORD.findall((t or "").lower()), WORD.findall((q or "").lower()), WORD.findall((a or "").lower())) for i, t, q, a in items]
         self.items = [x for x in split if x[1]]
         self.overlap = overlap
+        self.by_question = by_question
         n = len(self.items)
-        self.longest = max((len(w) for _, w, _, _ in self.items), default=1)
+        self.longest = max((max(len(w), len(q) if by_question else 0) for _, w, q, _ in self.items), default=1)
         self.vocabulary: dict[str, int] = {}
         counts = [Counter(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words) for _, words, _, _ in self.items]
         df = Counter(t for c in counts for t in c)
@@ -85,10 +89,13 @@ class ItemIndex:
             values = [v for _, v in found]
             self.postings[t] = ([i for i, _ in found], values, [max(values[k : k + BLOCK]) for k in range(0, len(values), BLOCK)])
         self.threshold, need, heavy = [], [], defaultdict(list)
-        for at, ((_, words, _, _), impact) in enumerate(zip(self.items, self.impacts, strict=True)):
-            missing = int((1 - overlap) * max(1, len(words) - SHINGLE + 1) + 1e-9)
+        for at, ((_, words, question, _), impact) in enumerate(zip(self.items, self.impacts, strict=True)):
             ranked = sorted(impact.items(), key=lambda x: (-x[1], x[0]))
-            least = sum(v for _, v in ranked[missing:])
+            least = self.least(ranked, words)
+            if by_question and len(question) >= SHINGLE:
+                # The question's words alone; those that the item's text does not have add nothing to a score.
+                asked = {self.vocabulary.get(w) for w in question}
+                least = min(least, self.least([x for x in ranked if x[0] in asked], question))
             self.threshold.append(least * (1 - 1e-9))
             light, keep = 0.0, list(ranked)
             while len(keep) > 1 and light + keep[-1][1] <= LIGHT * least:
@@ -108,6 +115,11 @@ class ItemIndex:
         self.need = np.array(need)
         self.item_grams = [grams([self.vocabulary[w] for w in words]) for _, words, _, _ in self.items]
 
+    def least(self, ranked: list[tuple[int, float]], words: list[str]) -> float:
+        """The least score of a passage that holds the share ``overlap`` of the shingles of ``words``; ``ranked``: their impacts, largest first."""
+        missing = int((1 - self.overlap) * max(1, len(words) - SHINGLE + 1) + 1e-9)
+        return sum(v for _, v in ranked[missing:])
+
     def search(self, terms: set[int]) -> list[tuple[int, float]]:
         """Block-max WAND: every item (by position) whose score for the query reaches its threshold."""
         lists = [[0, *self.postings[t]] for t in terms if t in self.postings]  # cursor, items, impacts, block maxima
@@ -180,8 +192,11 @@ class ItemIndex:
             for item, score in self.search(set(words) - {0}):
                 there = set(grams(words)) if there is None else there
                 share = self.share(self.item_grams[item], words, there)
-                if share >= self.overlap - 1e-12 and (item not in best[d] or share > best[d][item][2]):
-                    ident, _, question, answer = self.items[item]
+                ident, _, question, answer = self.items[item]
+                held = share >= self.overlap - 1e-12
+                if not held and self.by_question and len(question) >= SHINGLE:
+                    held = self.share(grams([get(w, -1) for w in question]), words, there) >= self.overlap - 1e-12
+                if held and (item not in best[d] or share > best[d][item][2]):
                     parts = [self.share(grams([get(w, 0) for w in part]), words, there) for part in (question, answer)]
                     best[d][item] = (ident, score, share, *parts)
         for d, found in enumerate(best):
@@ -211,13 +226,13 @@ def shards(items: DataFrame, item_col: str, text_col: str, question_col: str | N
     return out
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", into: str = "leaks", item_col: str = "item_id", item_text_col: str = "text", question_col: str | None = None, answer_col: str | None = None, overlap: float = OVERLAP, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", into: str = "leaks", item_col: str = "item_id", item_text_col: str = "text", question_col: str | None = None, answer_col: str | None = None, overlap: float = OVERLAP, shard_chars: int = SHARD_CHARS, by_question: bool = False) -> DataFrame:
     """Adds the array ``into`` with every item that the document holds; narrow, no shuffle."""
     parts = shards(items, item_col, item_text_col, question_col, answer_col, shard_chars)
 
     def make(part):
         def build():
-            index = ItemIndex(part, overlap)
+            index = ItemIndex(part, overlap, by_question)
 
             def handle(texts):
                 return [pa.array([[dict(zip(("item_id", "score", "overlap", "question_overlap", "answer_overlap"), x, strict=True)) for x in found] for found in index.leaks(texts)], _ARROW)]
