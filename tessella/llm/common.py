@@ -90,7 +90,7 @@ def append_struct(df: DataFrame, text_col: str, fields: list[T.StructField], int
     return map_slices(df, T.StructType([*df.schema.fields, T.StructField(into, T.StructType(fields))]), build)
 
 
-def sample_texts(labelled: DataFrame, docs: DataFrame, id_col: str, label_col: str, text_col: str, per_label: int, max_chars: int, max_labels: int = 200) -> list[tuple[str, object]]:
+def sample_texts(labelled: DataFrame, docs: DataFrame, id_col: str, label_col: str, text_col: str, per_label: int, max_chars: int) -> list[tuple[str, object]]:
     """A bounded training sample: ``per_label`` rows of each label, in the order of a hash of the id.
 
     ``labelled`` holds ids and labels, ``docs`` ids and texts. The ids are chosen first, from two narrow
@@ -99,7 +99,7 @@ def sample_texts(labelled: DataFrame, docs: DataFrame, id_col: str, label_col: s
     does not depend on partitioning.
     """
     usable = labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).alias("y"))
-    labels = sorted(r["y"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(max_labels).collect())
+    labels = sorted(r["y"] for r in usable.select("y").distinct().collect())
     key = F.xxhash64(F.col("i").cast("string"), F.lit(17))
     chosen = {r["i"]: y for y in labels for r in usable.where(F.col("y") == y).select("i").orderBy(key, "i").limit(per_label).collect()}
     if not chosen:

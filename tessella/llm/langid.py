@@ -199,7 +199,7 @@ def train(samples: list[tuple[str, str]], steps: int = 220, batch: int = 128, ra
         pools = [np.concatenate([windows(as_bytes(t)) for t, y in samples if y == lang]) for lang in languages]
         first, second = {}, {}
         for step in range(1, steps + 1):
-            y = np.arange(batch) % k
+            y = ((step - 1) * batch + np.arange(batch)) % k  # goes on where the last batch ended
             x = np.stack([pools[j][rng.integers(len(pools[j]))] for j in y])
             # A quarter of the windows are cut short, as short texts are.
             x *= np.arange(WINDOW) < np.where(rng.random(batch) < 0.25, rng.integers(4, WINDOW, batch), WINDOW)[:, None]
