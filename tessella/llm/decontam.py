@@ -13,8 +13,9 @@ at once; only passages that can still reach some threshold are queried.
 An item is verified if at least ``overlap`` of its five-word shingles occur in the passage. Its question and
 answer (given as columns, or the text before and after its last line or sentence break) get an overlap of their own.
 With ``by_question`` an item also counts where at least ``overlap`` of its question's shingles occur, with or without
-the answer (``answer_overlap`` tells), and its threshold is the weaker of the two conditions'. A question of
-less than one full shingle says too little and leaves its item to be judged as a whole.
+the answer (``answer_overlap`` tells). The question is then an entry of the index of its own, with a threshold of its
+own, so that a short question does not lower the bar of its item. A question of less than one full shingle says
+too little and leaves its item to be judged as a whole. The score that is reported is that of the whole item.
 Items without words match nothing. Null and empty documents hold nothing. Items and documents may repeat; every
 row of documents is reported with each item once.
 """
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, append_struct
+from .common import WORD, append_struct, fresh, stash, unstash
 
 SHINGLE = 5
 OVERLAP = 0.8
@@ -62,7 +64,7 @@ def held_share(part: list[tuple], there: set) -> float:
 
 
 class ItemIndex:
-    """``items``: (id, text, question, answer)."""
+    """``items``: (id, text, question, answer). Entries of the index are the items and, with ``by_question``, their questions."""
 
     def __init__(self, items: list[tuple[int, str, str, str]], overlap: float = OVERLAP, by_question: bool = False):
         split = [(i, WORD.findall((t or "").lower()), WORD.findall((q or "").lower()), WORD.findall((a or "").lower())) for i, t, q, a in items]
@@ -70,16 +72,20 @@ class ItemIndex:
         self.overlap = overlap
         self.by_question = by_question
         n = len(self.items)
-        self.longest = max((max(len(w), len(q) if by_question else 0) for _, w, q, _ in self.items), default=1)
+        entries = [(at, words) for at, (_, words, _, _) in enumerate(self.items)]
+        if by_question:
+            entries += [(at, question) for at, (_, words, question, _) in enumerate(self.items) if len(question) >= SHINGLE and question != words]
+        self.owner = [at for at, _ in entries]
+        self.longest = max((len(words) for _, words in entries), default=1)
         self.vocabulary: dict[str, int] = {}
-        counts = [Counter(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words) for _, words, _, _ in self.items]
-        df = Counter(t for c in counts for t in c)
-        average = sum(len(w) for _, w, _, _ in self.items) / max(1, n)
+        counts = [Counter(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words) for _, words in entries]
+        df = Counter(t for c in counts[:n] for t in c)
+        average = sum(len(words) for _, words in entries[:n]) / max(1, n)
         self.impacts: list[dict[int, float]] = []
-        for (_, words, _, _), c in zip(self.items, counts, strict=True):
+        for (_, words), c in zip(entries, counts, strict=True):
             norm = K1 * (1 - B + B * len(words) / average)
             self.impacts.append({t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in c.items()})
-        # Postings in item order, with the largest impact of every block of them.
+        # Postings in the order of entries, with the largest impact of every block of them.
         self.postings: dict[int, tuple[list[int], list[float], list[float]]] = {}
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for at, impact in enumerate(self.impacts):
@@ -89,13 +95,9 @@ class ItemIndex:
             values = [v for _, v in found]
             self.postings[t] = ([i for i, _ in found], values, [max(values[k : k + BLOCK]) for k in range(0, len(values), BLOCK)])
         self.threshold, need, heavy = [], [], defaultdict(list)
-        for at, ((_, words, question, _), impact) in enumerate(zip(self.items, self.impacts, strict=True)):
+        for at, ((_, words), impact) in enumerate(zip(entries, self.impacts, strict=True)):
             ranked = sorted(impact.items(), key=lambda x: (-x[1], x[0]))
             least = self.least(ranked, words)
-            if by_question and len(question) >= SHINGLE:
-                # The question's words alone; those that the item's text does not have add nothing to a score.
-                asked = {self.vocabulary.get(w) for w in question}
-                least = min(least, self.least([x for x in ranked if x[0] in asked], question))
             self.threshold.append(least * (1 - 1e-9))
             light, keep = 0.0, list(ranked)
             while len(keep) > 1 and light + keep[-1][1] <= LIGHT * least:
@@ -110,10 +112,12 @@ class ItemIndex:
             self.starts[t + 1] = len(found)
         self.starts = np.cumsum(self.starts)
         order = [heavy.get(t, []) for t in range(len(self.vocabulary) + 1)]
-        self.heavy_item = np.array([i for x in order for i, _ in x], np.int64)
+        self.heavy_entry = np.array([i for x in order for i, _ in x], np.int64)
         self.heavy_value = np.array([v for x in order for _, v in x])
         self.need = np.array(need)
-        self.item_grams = [grams([self.vocabulary[w] for w in words]) for _, words, _, _ in self.items]
+        # Word numbers of text, question and answer; a word that no entry has is -1 and equals nothing.
+        code = lambda words: grams([self.vocabulary.get(w, -1) for w in words])
+        self.parts = [(code(words), code(question), code(answer)) for _, words, question, answer in self.items]
 
     def least(self, ranked: list[tuple[int, float]], words: list[str]) -> float:
         """The least score of a passage that holds the share ``overlap`` of the shingles of ``words``; ``ranked``: their impacts, largest first."""
@@ -121,7 +125,7 @@ class ItemIndex:
         return sum(v for _, v in ranked[missing:])
 
     def search(self, terms: set[int]) -> list[tuple[int, float]]:
-        """Block-max WAND: every item (by position) whose score for the query reaches its threshold."""
+        """Block-max WAND: every entry (by position) whose score for the query reaches its threshold."""
         lists = [[0, *self.postings[t]] for t in terms if t in self.postings]  # cursor, items, impacts, block maxima
         highest = {id(x): max(x[3]) for x in lists}
         out = []
@@ -179,28 +183,26 @@ class ItemIndex:
         passage, term = np.concatenate(hits_passage), np.concatenate(hits_entry)
         many = self.starts[term + 1] - self.starts[term]
         entry = np.repeat(self.starts[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        cell = np.repeat(passage, many) * len(self.items) + self.heavy_item[entry]
+        cell = np.repeat(passage, many) * len(self.owner) + self.heavy_entry[entry]
         cells, inverse = np.unique(cell, return_inverse=True)
         reach = np.bincount(inverse, self.heavy_value[entry])
-        hopeful = np.unique(cells[reach >= self.need[cells % len(self.items)]] // len(self.items))
+        hopeful = np.unique(cells[reach >= self.need[cells % len(self.owner)]] // len(self.owner))
         best: list[dict[int, tuple]] = [{} for _ in texts]
         owner = np.searchsorted(bases, hopeful, side="right") - 1
         for p, d in zip(hopeful, owner, strict=True):
             start = int(p - bases[d]) * step
             words = coded[d][start : start + size].tolist()
-            there = None
-            for item, score in self.search(set(words) - {0}):
-                there = set(grams(words)) if there is None else there
-                share = self.share(self.item_grams[item], words, there)
-                ident, _, question, answer = self.items[item]
-                held = share >= self.overlap - 1e-12
-                if not held and self.by_question and len(question) >= SHINGLE:
-                    held = self.share(grams([get(w, -1) for w in question]), words, there) >= self.overlap - 1e-12
-                if held and (item not in best[d] or share > best[d][item][2]):
-                    parts = [self.share(grams([get(w, 0) for w in part]), words, there) for part in (question, answer)]
-                    best[d][item] = (ident, score, share, *parts)
+            terms = set(words) - {0}
+            found = sorted({self.owner[e] for e, _ in self.search(terms)})
+            there = set(grams(words)) if found else set()
+            for item in found:
+                shares = tuple(self.share(part, words, there) for part in self.parts[item])
+                asked = self.by_question and len(self.items[item][2]) >= SHINGLE and shares[1] >= self.overlap - 1e-12
+                if (asked or shares[0] >= self.overlap - 1e-12) and (item not in best[d] or shares > best[d][item][2:]):
+                    score = sum(v for t, v in sorted(self.impacts[item].items()) if t in terms)
+                    best[d][item] = (self.items[item][0], score, *shares)
         for d, found in enumerate(best):
-            out[d] = sorted(found.values())
+            out[d] = [found[item] for item in sorted(found)]
         return out
 
     @staticmethod
@@ -215,24 +217,41 @@ LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Struc
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 
 
-def shards(items: DataFrame, item_col: str, text_col: str, question_col: str | None, answer_col: str | None, shard_chars: int) -> list[list[tuple]]:
-    """Items in groups of bounded size, each fetched by a query of its own."""
-    total = items.agg(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0
-    count = -(-total // shard_chars) or 1
-    out = []
-    for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64(F.col(item_col).cast("string"), text_col), F.lit(count)) == k).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.col(question_col).alias("q") if question_col else F.lit(None).cast("string").alias("q"), F.col(answer_col).alias("a") if answer_col else F.lit(None).cast("string").alias("a")).distinct().collect()
-        out.append([(r["i"], r["t"], *((r["q"], r["a"]) if question_col else split_item(r["t"] or ""))) for r in sorted(rows, key=lambda r: (r["i"] is None, r["i"], r["t"] or ""))])
-    return out
+def shard(items: DataFrame, k: int, count: int, item_col: str, text_col: str, question_col: str | None, answer_col: str | None) -> list[tuple]:
+    """The ``k``-th of ``count`` groups of items, without repeats."""
+    none = F.lit(None).cast("string")
+    mine = F.pmod(F.xxhash64(F.col(item_col).cast("string"), text_col), F.lit(count)) == k
+    rows = items.where(mine).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"), (F.col(question_col) if question_col else none).alias("q"), (F.col(answer_col) if answer_col else none).alias("a")).distinct().collect()
+    return [(r["i"], r["t"], *((r["q"], r["a"]) if question_col else split_item(r["t"] or ""))) for r in sorted(rows, key=lambda r: (r["i"] is None, r["i"], r["t"] or "", r["q"] or "", r["a"] or ""))]
+
+
+_BUILT: dict[str, ItemIndex] = {}
+
+
+def built(token: str, items: list[tuple], overlap: float, by_question: bool) -> ItemIndex:
+    """The index of a shard, built once in a worker's life; a worker keeps one."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = ItemIndex(items, overlap, by_question)
+    return _BUILT[token]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", into: str = "leaks", item_col: str = "item_id", item_text_col: str = "text", question_col: str | None = None, answer_col: str | None = None, overlap: float = OVERLAP, shard_chars: int = SHARD_CHARS, by_question: bool = False) -> DataFrame:
-    """Adds the array ``into`` with every item that the document holds; narrow, no shuffle."""
-    parts = shards(items, item_col, item_text_col, question_col, answer_col, shard_chars)
+    """Adds the array ``into`` with every item that the document holds, in the order of items; narrow, no shuffle.
+
+    Other columns stay as they are; ``into`` must not be one of them (``ValueError``). Null and empty texts
+    get an empty array, and so does every row where there are no items. Of several passages that hold an item the one
+    with the largest overlaps is reported, the first on ties. Items of more than ``shard_chars`` characters are searched shard by
+    shard; the rows are then written to the shared folder between shards, so that driver and workers hold one shard at a time.
+    """
+    if into.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"column {into} exists already; use fresh()")
+    total = items.agg(F.sum(F.length(item_text_col)).alias("n")).first()["n"] or 0
+    count = -(-total // shard_chars) or 1
 
-    def make(part):
+    def make(part: list[tuple], token: str):
         def build():
-            index = ItemIndex(part, overlap, by_question)
+            index = built(token, part, overlap, by_question)
 
             def handle(texts):
                 return [pa.array([[dict(zip(("item_id", "score", "overlap", "question_overlap", "answer_overlap"), x, strict=True)) for x in found] for found in index.leaks(texts)], _ARROW)]
@@ -241,8 +260,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", into:
 
         return build
 
-    out = docs
-    names = [f"{into}_{k}" for k in range(len(parts))]
-    for name, part in zip(names, parts, strict=True):
-        out = append_struct(out, text_col, [T.StructField("found", LEAK)], name, make(part))
+    out, names = docs, []
+    for k in range(count):
+        names.append(fresh(out, f"{into}_{k}"))
+        before = out
+        out = append_struct(out, text_col, [T.StructField("found", LEAK)], names[-1], make(shard(items, k, count, item_col, item_text_col, question_col, answer_col), uuid.uuid4().hex))
+        if count > 1:
+            out = stash(out, "shard")
+            if k:
+                unstash(before)
     return out.withColumn(into, F.concat(*[F.col(f"{n}.found") for n in names])).drop(*names)
