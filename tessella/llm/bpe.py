@@ -1,7 +1,7 @@
 """Byte-level BPE: exact backtracking encoder and offset-table decoder.
 
-The encoder never runs merges. The trie of an Aho-Corasick automaton of the vocabulary gives the
-longest entry at each place that is reached; it is tried first and kept only if it can stand
+The encoder never runs merges. An Aho-Corasick automaton of the vocabulary scans each pre-token once and so finds the
+longest entry that begins at each of its bytes; at a place that is reached it is tried first and kept only if it can stand
 next to the entry before it, that is if merging would not have joined bytes across their border.
 Where no entry fits, the last one is taken back. A bit per position keeps dead ends from being
 entered twice, so the time is linear in the length of the pre-token.
@@ -31,6 +31,8 @@ PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\
 
 #: Entries of one generation of a worker's memo of encoded pieces.
 MEMO = 400_000
+#: Pieces longer than this are not kept, so a memo is bounded in bytes too.
+MEMO_PIECE = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -41,13 +43,18 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Memo(dict):
-    """Bounded memo of two generations: when full, the young one becomes the old one, whose entries return on use."""
+    """Bounded memo of two generations: when full, the young one becomes the old one, whose entries return on use.
 
-    def __init__(self, make, most: int = MEMO):
+    Keys longer than ``longest`` are not kept, so the memo is bounded in bytes as well as in entries.
+    """
+
+    def __init__(self, make, most: int = MEMO, longest: int | None = None):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -88,14 +95,6 @@ class BytePairCodec:
         for a, t in enumerate(texts):
             self.matcher.add_word(t.decode("latin-1"), a)
         self.matcher.make_automaton()
-        self.span = max(self.sizes)
-        # The longest entry within a path of the automaton's trie, by the path.
-        self.beginning = {}
-        for t in texts:
-            for n in range(1, len(t) + 1):
-                path = t[:n].decode("latin-1")
-                if path not in self.beginning:
-                    self.beginning[path] = by_text[t[:n]] if t[:n] in by_text else self.beginning[path[:-1]]
         self.fits = Memo(self._fits, 1_000_000)
         # Offset table for decoding: bytes of id i are blob[offsets[i]:offsets[i + 1]].
         most = max([*vocab.values(), *self.specials.values()]) + 1
@@ -110,9 +109,9 @@ class BytePairCodec:
         self.pre_token = regex.compile(PRE_TOKEN)
         self.risky = re.compile(r" (?:\s|\Z)")
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self.words = Memo(self._word, 100_000)
-        self.first = Memo(self._piece, 10_000)
-        self.later = Memo(lambda piece: self._piece(" " + piece))
+        self.words = Memo(self._word, 100_000, MEMO_PIECE)
+        self.first = Memo(self._piece, 10_000, MEMO_PIECE)
+        self.later = Memo(lambda piece: self._piece(" " + piece), MEMO, MEMO_PIECE)
 
     def _fits(self, pair: tuple[int, int]) -> bool:
         """Whether merging leaves the border between two neighbouring entries alone.
@@ -138,20 +137,20 @@ class BytePairCodec:
 
     def encode_word(self, data: bytes) -> list[int]:
         """Ages of the entries of one pre-token."""
-        n, sizes, shorter, fits, whole = len(data), self.sizes, self.shorter, self.fits, data.decode("latin-1")
-        reach, beginning, span = self.matcher.longest_prefix, self.beginning, self.span
+        n, sizes, shorter, fits = len(data), self.sizes, self.shorter, self.fits
+        longest = [0] * n
+        for end, entry in self.matcher.iter(data.decode("latin-1")):
+            longest[end + 1 - sizes[entry]] = entry  # a later end of the same place is a longer entry
         open_at = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
-        at, ahead = 0, whole[:span]
-        entry = beginning[ahead[: reach(ahead)]]
+        at, entry = 0, longest[0]
         while at < n:
             end = at + sizes[entry]
             if open_at[end] and (not out or fits[out[-1], entry]):
                 out.append(entry)
                 at = end
                 if at < n:
-                    ahead = whole[at : at + span]
-                    entry = beginning[ahead[: reach(ahead)]]
+                    entry = longest[at]
             elif shorter[entry] >= 0:
                 entry = shorter[entry]
             else:
@@ -212,7 +211,11 @@ def codec(path: str) -> BytePairCodec:
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text", into: str = "bpe") -> DataFrame:
-    """Adds the struct ``into`` with ``ids`` (packed little-endian uint32) and ``decoded`` (text of those ids)."""
+    """Adds the struct ``into`` with ``ids`` (packed little-endian uint32) and ``decoded`` (text of those ids).
+
+    A row for every row, other columns as they are; ``into`` must not be one of them (``ValueError``). Null and
+    empty texts have no ids and an empty decoded text; an empty table gives an empty table.
+    """
 
     def make():
         c = codec(tokenizer_path)

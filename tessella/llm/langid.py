@@ -7,16 +7,18 @@ Each direction reads one byte at a time and keeps a small state ``h``::
 
 (a light gated unit: an update gate, no reset gate). Both states at a byte give that position's
 language probabilities; a document's are the mean over all its positions. The network is trained in
-numpy by backpropagation through time on windows of ``WINDOW`` bytes and applied to all such windows
-of a whole text, many windows at a time.
+numpy by backpropagation through time on windows of ``WINDOW`` bytes and applied to whole texts, many at a time. Long texts
+are cut into chunks of ``CHUNK`` bytes that are read side by side. States do not start anew at a cut: the forward state
+is run in over the ``LEAD`` bytes before the chunk, the backward state over those behind it. With the networks trained
+on the test tables 256 bytes already give the probabilities of an unbroken run to the last bit of single precision.
 
-A text that is null or has no letter is ``und`` with score 0. Repeated rows get equal results. Without
-any labelled row every text is ``und``.
+A text that is null or has no letter is ``und`` with score 0. Repeated rows get equal results, equal shares go to the
+language that sorts first. Without any labelled row every text is ``und``; with one language every other text is of it.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,9 +33,12 @@ HIDDEN = 8
 #: Bound of the training sample: rows of each language, and the longest text that takes part.
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_MAX_CHARS = 50_000
-#: Windows that are labelled at a time; bounds the memory of a worker.
-BLOCK = 4096
-LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of a chunk, and bytes around it over which states are run in.
+CHUNK, LEAD = 4096, 256
+#: Bytes that are labelled at a time; bounds the memory of a worker.
+GROUP = 1 << 20
+#: Texts of a slice.
+TEXTS = 1024
 UNKNOWN = "und"
 
 
@@ -59,93 +64,93 @@ class ByteTagger:
     outer: np.ndarray  # (2, h, languages)
     bias: np.ndarray
 
-    def states(self, x: np.ndarray) -> np.ndarray:
-        """States (t, direction, window, h) of windows (window, t); the second direction is aligned with the first."""
-        n, steps = x.shape
-        h = self.inner.shape[1]
-        flat = self.table.reshape(-1, 2 * h)
-        out = np.empty((2, steps, n, h), np.float32)
-        both = np.stack([x.T, x.T[::-1]], axis=1).astype(np.intp)  # (t, 2, n)
-        both[:, 1] += 256
-        state, a, b = np.zeros((2, n, h), np.float32), np.empty((2, n, 2 * h), np.float32), np.empty((2, n, 2 * h), np.float32)
-        for t in range(steps):
-            np.take(flat, both[t], axis=0, out=a, mode="clip")
-            if t:
-                np.matmul(state, self.inner, out=b)
-                a += b
-            np.abs(a, out=b)
-            b += 1
-            a /= b
-            z, c = a[..., :h], a[..., h:]
+    def states(self, data: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Piece and place of every byte of the pieces (longest first), and its forward and backward states (byte, h)."""
+        h, kind = self.inner.shape[1], self.table.dtype
+        sizes = np.array([len(d) for d in data])
+        steps = np.arange(sizes[0])
+        counts = np.searchsorted(-sizes, -steps, "left")  # pieces that are longer than the step
+        offsets = np.cumsum(counts) - counts
+        place = np.repeat(steps, counts)
+        piece = np.arange(counts.sum()) - offsets[place]
+        whole, begins = np.concatenate(data).astype(np.intp), np.cumsum(sizes) - sizes
+        back = sizes[piece] - 1 - place
+        codes = np.stack([whole[begins[piece] + place], whole[begins[piece] + back] + 256])
+        table, out = self.table.reshape(-1, 2 * h), np.empty((2, len(piece), h), kind)
+        state, first, second = np.zeros((2, len(data), h), kind), np.empty((2, len(data), 2 * h), kind), np.empty((2, len(data), 2 * h), kind)
+        for n, at in zip(counts.tolist(), offsets.tolist(), strict=True):
+            if n < first.shape[1]:
+                state, first, second = (np.ascontiguousarray(x[:, :n]) for x in (state, first, second))
+            np.take(table, codes[:, at : at + n], axis=0, out=first, mode="clip")
+            np.matmul(state, self.inner, out=second)
+            first += second
+            np.abs(first, out=second)
+            second += 1
+            first /= second
+            z, c = first[..., :h], first[..., h:]
             z += 1
             z *= 0.5
             state -= c
             state *= z
             state += c
-            out[0, t], out[1, steps - 1 - t] = state[0], state[1]
-        return out.transpose(1, 0, 2, 3)
-
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Language probabilities (window, t, language) of every position."""
-        s = self.states(x)
-        logits = s[:, 0] @ self.outer[0] + s[:, 1] @ self.outer[1] + self.bias
-        logits -= logits.max(-1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(-1, keepdims=True)
-        return logits.transpose(1, 0, 2)
+            out[:, at : at + n] = state
+        # The backward state of a place was reached as many steps from the piece's end.
+        return piece, place, out[0], out[1][offsets[back] + piece]
+
+    def label(self, data: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Text, place and probabilities (language, byte) of every byte of the texts, group by group."""
+        pieces = []  # length, text, first byte, first and last byte of the chunk proper
+        for i, d in enumerate(data):
+            for start in range(0, len(d), CHUNK):
+                stop = min(len(d), start + CHUNK)
+                low, high = max(0, start - LEAD), min(len(d), stop + LEAD)
+                pieces.append((high - low, i, low, start, stop))
+        pieces.sort(key=lambda x: (-x[0], x[1], x[2]))
+        while pieces:
+            n = max(1, int(np.searchsorted(np.cumsum([x[0] for x in pieces]), GROUP, "right")))
+            group, pieces = pieces[:n], pieces[n:]
+            size, text, low, start, stop = (np.array(x) for x in zip(*group, strict=True))
+            piece, place, forward, backward = self.states([data[i][a : a + n] for n, i, a, _, _ in group])
+            text, place = text[piece], place + low[piece]
+            if (low < start).any() or (low + size > stop).any():
+                own = (place >= start[piece]) & (place < stop[piece])
+                text, place, forward, backward = text[own], place[own], forward[own], backward[own]
+            p = self.outer[0].T @ forward.T
+            p += self.outer[1].T @ backward.T
+            p += self.bias[:, None]
+            p -= p.max(0)
+            np.exp(p, out=p)
+            p /= p.sum(0)
+            yield text, place, p
 
     def label_positions(self, text: str) -> list[str]:
         """The language of every byte of the lower-cased text."""
         data = as_bytes(text)
         if not len(data):
             return []
-        best = self.positions(windows(data)).reshape(-1, len(self.languages))[: len(data)].argmax(-1)
+        best = np.zeros(len(data), int)
+        for _, place, p in self.label([data]):
+            best[place] = p.argmax(0)
         return [self.languages[i] for i in best]
 
     def documents(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int], list[float]]:
         """For each text: language, pooled probability, number of positions, share of positions with that label."""
-        known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
         out = ([UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts), [0.0] * len(texts))
         k = len(self.languages)
-        if not known or not k:
+        known = [(as_bytes(t), i) for i, t in enumerate(texts) if t and k and any(map(str.isalpha, t))]
+        if not known:
             return out
-        data = [as_bytes(texts[i]) for i in known]
-        sizes = np.array([len(d) for d in data])
-        sums, votes, owner_at = np.zeros((len(known), k)), np.zeros((len(known), k)), 0
-        held: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-
-        def flush():
-            x, own = np.concatenate(held), np.concatenate(owners)
-            held.clear()
-            owners.clear()
-            for at in range(0, len(x), BLOCK):
-                part, who = x[at : at + BLOCK], own[at : at + BLOCK]
-                p = self.positions(part)
-                live = part != 0
-                p *= live[..., None]
-                np.add.at(sums, who, p.sum(1))
-                best = p.argmax(-1)
-                for j in range(k):
-                    np.add.at(votes[:, j], who, ((best == j) & live).sum(1))
-
-        pending = 0
-        for owner_at, d in enumerate(data):
-            w = windows(d)
-            held.append(w)
-            owners.append(np.full(len(w), owner_at))
-            pending += len(w)
-            if pending >= BLOCK:
-                flush()
-                pending = 0
-        if held:
-            flush()
-        shares = sums / sums.sum(1, keepdims=True)
-        best = shares.argmax(1)
-        for row, i in enumerate(known):
-            j = best[row]
-            out[0][i], out[1][i], out[2][i] = self.languages[j], float(min(1.0, shares[row, j])), int(sizes[row])
-            out[3][i] = float(votes[row, j] / max(1.0, votes[row].sum()))
+        n = len(known)
+        sums, votes = np.zeros((k, n)), np.zeros(n * k)
+        for owner, _, p in self.label([d for d, _ in known]):
+            for j in range(k):
+                sums[j] += np.bincount(owner, p[j], n)
+            votes += np.bincount(owner * k + p.argmax(0), minlength=n * k)
+        shares, votes = sums.T / sums.sum(0)[:, None], votes.reshape(n, k)
+        for row, (data, i) in enumerate(known):
+            j = int(shares[row].argmax())
+            out[0][i], out[1][i], out[2][i] = self.languages[j], float(min(1.0, shares[row, j])), len(data)
+            out[3][i] = float(votes[row, j] / len(data))
         return out
 
 
@@ -190,7 +195,7 @@ def loss_and_gradients(m: ByteTagger, x: np.ndarray, y: np.ndarray) -> tuple[flo
 
 def train(samples: list[tuple[str, str]], steps: int = 220, batch: int = 128, rate: float = 0.02, seed: int = 1) -> ByteTagger:
     """Adam on random windows, as many of each language. The same samples give the same network."""
-    samples = [(t, y) for t, y in samples if t and LETTER.search(t)]
+    samples = [(t, y) for t, y in samples if t and any(map(str.isalpha, t))]
     languages = sorted({y for _, y in samples})
     rng = np.random.default_rng(seed)
     k = max(1, len(languages))
@@ -215,7 +220,7 @@ def train(samples: list[tuple[str, str]], steps: int = 220, batch: int = 128, ra
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteTagger:
-    """Trains on a bounded sample of ``docs``; the caller leaves out held-out rows."""
+    """Trains on a bounded sample of ``docs`` (see ``sample_texts``); the caller leaves out held-out rows."""
     return train(sample_texts(docs, docs, id_col, lang_col, text_col, SAMPLE_PER_LANGUAGE, SAMPLE_MAX_CHARS))
 
 
@@ -223,7 +228,11 @@ FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.D
 
 
 def identify(docs: DataFrame, model: ByteTagger, text_col: str = "text", into: str = "language") -> DataFrame:
-    """Adds the struct ``into``: language, pooled probability, positions read, share of positions with that label."""
+    """Adds the struct ``into``: language, pooled probability, positions read, share of positions with that label.
+
+    A row for every row, other columns as they are; ``into`` must not be one of them (``ValueError``). Null texts and
+    texts without a letter are ``und`` with score 0; an empty table gives an empty table.
+    """
 
     def make():
         def handle(texts):
@@ -232,4 +241,4 @@ def identify(docs: DataFrame, model: ByteTagger, text_col: str = "text", into: s
 
         return handle
 
-    return append_struct(docs, text_col, FIELDS, into, make)
+    return append_struct(docs, text_col, FIELDS, into, make, TEXTS)

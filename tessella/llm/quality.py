@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import batched, islice
 from operator import eq
 from zlib import crc32
 
@@ -41,13 +41,16 @@ SAMPLE_MAX_CHARS = 60_000
 MEMO_TOKEN = 64
 
 
-def features(token: str) -> list[int]:
+def features(token: str) -> Iterator[int]:
     """Buckets of a token and its character n-grams."""
     if token == REPEAT:
-        return [crc32(REPEAT.encode()) % BUCKETS]
+        yield crc32(REPEAT.encode()) % BUCKETS
+        return
     w = f"<{token}>"
-    grams = [w[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(w) - n + 1)]
-    return [crc32(g.encode("utf-8", "replace")) % BUCKETS for g in [w + "word", *grams]]
+    yield crc32((w + "word").encode("utf-8", "replace")) % BUCKETS
+    for n in range(SHORTEST, LONGEST + 1):
+        for i in range(len(w) - n + 1):
+            yield crc32(w[i : i + n].encode("utf-8", "replace")) % BUCKETS
 
 
 def tokens(text: str) -> list[str]:
@@ -66,14 +69,17 @@ class QualityModel:
         weights = self.weights
 
         def sums(token: str) -> complex:
-            f = features(token)
-            return complex(float(weights[f].sum()), len(f))
+            total, n = 0.0, 0
+            for part in batched(features(token), 4096):  # a token may be as long as its text
+                total += float(weights[list(part)].sum())
+                n += len(part)
+            return complex(total, n)
 
-        memo = Memo(sums, 300_000)
+        memo = Memo(sums, 300_000, MEMO_TOKEN)
 
         def score(text: str | None) -> float:
             found = tokens(text) if text else []
-            total = sum(memo[t] if len(t) <= MEMO_TOKEN else sums(t) for t in found) if any(len(t) > MEMO_TOKEN for t in found) else sum(map(memo.__getitem__, found))
+            total = sum(map(memo.__getitem__, found))
             mean = total.real / total.imag if found else 0.0
             return 1 / (1 + math.exp(-max(-50.0, min(50.0, mean + self.bias))))
 
@@ -82,17 +88,16 @@ class QualityModel:
 
 def train(samples: Iterable[tuple[str, int]], share: float, epochs: int = 8, rate: float = 2.0, seed: int = 5) -> QualityModel:
     """``share`` is the share of label 1 among all labelled rows; the sample may hold another."""
-    memo = Memo(features, 200_000)
+    memo = Memo(lambda t: np.fromiter(features(t), np.int32), 100_000, MEMO_TOKEN)
     docs, labels = [], []
     for text, label in samples:
-        counts: Counter[int] = Counter()
-        for t, n in Counter(tokens(text or "")).items():
-            for f in memo[t]:
-                counts[f] += n
-        if counts:
-            weights = np.fromiter(counts.values(), float, len(counts))
-            docs.append((np.fromiter(counts, np.int64, len(counts)), weights / weights.sum()))
+        if found := Counter(tokens(text or "")):
+            parts = [memo[t] for t in found]
+            ids, place = np.unique(np.concatenate(parts), return_inverse=True)
+            weights = np.bincount(place, np.repeat(list(found.values()), [len(p) for p in parts]))
+            docs.append((ids, (weights / weights.sum()).astype(np.float32)))
             labels.append(int(label))
+    del memo
     y = np.array(labels)
     prior = math.log(min(max(share, 0.01), 0.99) / (1 - min(max(share, 0.01), 0.99)))
     if len(set(labels)) < 2:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +22,9 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.positions").alias("positions"), F.col("language.agreement").alias("agreement"))
 
 
-def bpe_digests(coded: DataFrame, into: str = "bpe") -> DataFrame:
+def bpe_digests(coded: DataFrame, into: str = "bpe", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     return coded.select(
-        "doc_id",
+        *keep,
         F.expr(f"cast(octet_length({into}.ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2(f"{into}.ids", 256).alias("ids_sha256"),
         F.sha2(F.col(f"{into}.decoded").cast("binary"), 256).alias("decoded_sha256"),

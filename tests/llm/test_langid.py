@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tessella.llm import langid
@@ -36,22 +37,47 @@ def test_gradients_equal_differences():
             assert g[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
 
-def test_states_equal_a_loop_per_byte(model):
-    data = np.frombuffer("lomi ürk".encode(), np.uint8)
-    x = langid.windows(data)
-    for direction in (0, 1):
-        h = np.zeros(langid.HIDDEN)
-        order = range(langid.WINDOW) if direction == 0 else range(langid.WINDOW - 1, -1, -1)
-        for t in order:
-            a = model.table[direction, x[0, t]] + h @ model.inner[direction]
-            s = a / (1 + np.abs(a))
-            z, c = (s[: langid.HIDDEN] + 1) / 2, s[langid.HIDDEN :]
-            h = c + z * (h - c)
-            assert np.allclose(model.states(x)[t, direction, 0], h, atol=1e-5)
+def by_hand(model, data, direction):
+    h, out = np.zeros(langid.HIDDEN), np.zeros((len(data), langid.HIDDEN))
+    for t in range(len(data)) if direction == 0 else range(len(data) - 1, -1, -1):
+        a = model.table[direction, data[t]] + h @ model.inner[direction]
+        s = a / (1 + np.abs(a))
+        z, c = (s[: langid.HIDDEN] + 1) / 2, s[langid.HIDDEN :]
+        out[t] = h = c + z * (h - c)
+    return out
+
+
+@pytest.mark.parametrize(("chunk", "group"), [(4096, 1 << 20), (400, 1 << 20), (400, 10), (4096, 100)])
+def test_probabilities_equal_an_unbroken_loop_per_byte(model, monkeypatch, chunk, group):
+    monkeypatch.setattr(langid, "CHUNK", chunk)
+    monkeypatch.setattr(langid, "GROUP", group)
+    monkeypatch.setattr(langid, "LEAD", 1 << 20)
+    some = [langid.as_bytes(t) for t in ("lomi ürk rata " * 90, "zzöt vrrn lomi lomi", "ürk", "x", "zzöt rata " * 70)]
+    got = [np.zeros((len(d), 2)) for d in some]
+    for owner, place, p in model.label(some):
+        for i in range(len(some)):
+            got[i][place[owner == i]] = p.T[owner == i]
+    for data, found in zip(some, got, strict=True):
+        logits = by_hand(model, data, 0) @ model.outer[0] + by_hand(model, data, 1) @ model.outer[1] + model.bias
+        want = np.exp(logits - logits.max(1, keepdims=True))
+        assert np.allclose(found, want / want.sum(1, keepdims=True), atol=1e-4)
+
+
+def test_states_run_in_equal_an_unbroken_run(sf, monkeypatch):
+    docs = pq.read_table(f"{sf}/documents.parquet").to_pylist()
+    m = langid.train([(d["text"], d["lang"]) for d in docs if d["text"] and d["lang"]], steps=100)
+    long = max((d["text"] for d in docs), key=len) * 3
+    monkeypatch.setattr(langid, "CHUNK", 1 << 30)
+    ((_, _, whole),) = m.label([langid.as_bytes(long)])
+    monkeypatch.setattr(langid, "CHUNK", 2000)
+    got = np.zeros_like(whole)
+    for _, place, p in m.label([langid.as_bytes(long)]):
+        got[:, place] = p
+    assert len(long) > 10_000 and np.allclose(got, whole, atol=1e-4)
 
 
 def test_positions_pool_to_the_document(model):
-    text = texts("aa", 3)[0] * 5 + " " + texts("bb", 1)[0]
+    text = texts("aa", 3)[0] * 50 + " " + texts("bb", 1)[0]
     labels = model.label_positions(text)
     lang, score, n, agree = model.documents([text])
     assert len(labels) == len(text.lower().encode()) == n[0]
@@ -59,15 +85,18 @@ def test_positions_pool_to_the_document(model):
     assert 0.5 < score[0] <= 1
 
 
-def test_blocks_do_not_matter(model, monkeypatch):
-    many = texts("aa", 20) + [None, ""] + texts("bb", 20)
-    whole = model.documents(many)
-    monkeypatch.setattr(langid, "BLOCK", 3)
-    assert np.allclose(whole[1], model.documents(many)[1], atol=1e-5) and whole[0] == model.documents(many)[0]
+def test_company_does_not_matter(model):
+    many = texts("aa", 20) + [None, ""] + texts("bb", 20) + ["lomi " * 3000, "a\x00b"]
+    lang, score, n, agree = model.documents(many)
+    for i, t in enumerate(many):
+        alone = model.documents([t])
+        assert (lang[i], n[i]) == (alone[0][0], alone[2][0])
+        assert (score[i], agree[i]) == pytest.approx((alone[1][0], alone[3][0]), abs=1e-4)
 
 
 def test_unknown_and_empty(model):
     assert model.documents([None, "", "12 3!", "\n"])[:2] == (["und"] * 4, [0.0] * 4)
+    assert model.documents(["½", "²", "Ⅷ ①", "ª"])[0] == ["und", "und", "und", model.documents(["ª"])[0][0]]
     nobody = langid.train([])
     assert nobody.documents(["lomi"])[0] == ["und"]
     assert langid.train([("lomi", "aa")]).documents(["anything"])[:2] == (["aa"], [1.0])
