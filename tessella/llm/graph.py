@@ -24,20 +24,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every node hangs on one centre, and no centre on anything."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs")).union(edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs")))
+    found = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.min("hangs").alias("least"))
+    return found.where("hangs > 1 or hangs = 1 and least = 0").limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (the least node of each component) for every node that has an edge.
+    """``node, component`` (the least node of each component) for every node that has an edge, as a stashed table.
 
-    ``edges`` has the columns ``a`` and ``b`` of one orderable type; loops and repeats do no harm.
+    ``edges`` has the columns ``a`` and ``b`` of one numeric type; loops and repeats do no harm.
     """
-    now = stash(edges.where("a != b").select("a", "b").distinct(), "edges")
-    last = None
-    while True:
+    now = stash(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not _is_star(now):
         new = stash(_star(_star(now, True), False), "edges")
-        row = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         unstash(now)
         now = new
-        if tuple(row) == last:
-            break
-        last = tuple(row)
-    least = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return least.union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    out = stash(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+    unstash(now)
+    return out

@@ -11,16 +11,20 @@ picks one of ``COMPONENTS`` places at random, and each place keeps its earliest
 read only while it can still beat the latest of them. Two documents agree in a place with a
 probability equal to their similarity.
 
-Documents with equal words are one node from the start, so exact copies cost one row each. Nodes
-that share a band of the signature and whose bags' sizes allow the threshold are candidates. A bucket of
-candidates is a star around its least node, never all its pairs; components of these stars are families.
-All members of a family are compared by their whole bags: a family is dealt to blocks of bounded
-size, pairs of blocks are joined by key, and a block pair counts all overlaps at once as products of
-indicator matrices. Of the links found, those that connect something new are kept. Classes are the components of all
-links, so no link between members of one family is lost, whatever the family's size, and no pair of documents is ever a row.
+Documents with equal words are one node from the start, so exact copies cost one row each; nodes are numbered. Nodes
+that share a band of the signature are a bucket. A bucket is a star around its least node, never all its pairs. Every
+link of a star is verified by the two whole bags, and verified links alone make components. What a star does not say is
+whether two members that are not linked to the centre are similar: buckets of three nodes and more whose members
+are still of several components are compared in full. Their members are dealt to blocks of bounded size, pairs of blocks are
+joined by key, and a block pair counts all overlaps at once as products of indicator matrices. Buckets with the same
+members are compared once. Classes are the components of all verified links, so no link that a band shows is
+lost, whatever the bucket's size, and unrelated documents that share a band by chance are never joined.
+
+``BANDS`` bands of ``ROWS`` places meet for a pair of similarity 0.8 with probability 0.998 and for one of 0.3 with 0.015.
 
 Texts without words are a class each. Texts of one to four words have one shingle of all their words.
-Rows without an id take part as exact copies only. A class is named by its smallest id.
+Rows without an id take part as exact copies only. A class is named by its smallest id. Repeated rows are exact copies. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,17 +35,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, map_slices, stash, unstash
+from .common import WORD, batches_of, fresh, map_slices, stash, unstash
 from .graph import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 20, 6
 COMPONENTS = BANDS * ROWS
-#: Bounds of a block of a family: documents and bytes of bags, both met on average.
+#: Bounds of a block of a bucket: documents and bytes of bags, both met on average.
 BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 20
 #: Columns of an indicator matrix at a time.
 COLUMNS = 4096
+#: Rows of an Arrow batch of pairs of bags, and of pairs of blocks.
+PAIRS, BLOCK_PAIRS = 1024, 16
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,32 +136,49 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def key_of(words: list[str]) -> bytes | None:
-    return xxhash.xxh3_128_digest(" ".join(words)) if words else None
+def keys_of(texts: list[list[str]]) -> list[pa.Array]:
+    """128 bits that name a list of words, as two numbers; null without words."""
+    both = [np.frombuffer(xxhash.xxh3_128_digest(" ".join(w)), ">i8").tolist() if w else (None, None) for w in texts]
+    return [pa.array([k[i] for k in both], pa.int64()) for i in (0, 1)]
+
+
+def _words(texts: pa.Array) -> list[list[str]]:
+    return [WORD.findall(t.lower()) if t else [] for t in texts.to_pylist()]
 
 
 def _sign():
     def handle(batch: pa.RecordBatch):
-        words = [WORD.findall(t.lower()) if t else [] for t in batch.column(1).to_pylist()]
+        words = _words(batch.column(2))
         long = [i for i, w in enumerate(words) if len(w) > SHINGLE]
         bands: list = [None] * len(words)
-        sizes = [max(0, len(w) - SHINGLE + 1) for w in words]
         if long:
             for i, b in zip(long, band_hashes(signatures([shingles(words[i]) for i in long])), strict=True):
                 bands[i] = b
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([key_of(w) for w in words], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["id", "key", "bands", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *keys_of(words), pa.array(bands, pa.list_(pa.int64()))], names=["id", "row", "high", "low", "bands"])
 
     return handle
 
 
 def _bag():
     def handle(batch: pa.RecordBatch):
-        words = [WORD.findall(t.lower()) if t else [] for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in words], pa.binary()), pa.array([occurrences(shingles(w)).tobytes() for w in words], pa.binary())], names=["key", "bag"])
+        words = _words(batch.column(0))
+        yield pa.RecordBatch.from_arrays([*keys_of(words), pa.array([occurrences(shingles(w)).tobytes() for w in words], pa.binary())], names=["high", "low", "bag"])
 
     return handle
 
 
+def _verify(threshold: float):
+    """Of pairs (a, b, bag of a, bag of b) those with at least ``threshold`` similarity."""
+
+    def run(batches):
+        for batch in batches:
+            bags = [[np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3)]
+            held = pa.array([similarity(x, y) >= threshold - 1e-12 for x, y in zip(*bags, strict=True)], pa.bool_())
+            yield batch.select([0, 1]).filter(held)
+
+    return run
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Common elements of every pair of sorted sets, as sums of products of indicator matrices."""
     out = np.zeros((len(left), len(right)), np.float32)
@@ -198,18 +221,19 @@ def forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def block_links(left: list[dict], right: list[dict] | None, threshold: float) -> list[tuple[bytes, bytes]]:
-    """Links that connect the documents of a block, or of two blocks, with at least ``threshold`` similarity."""
+def block_links(left: list[dict], right: list[dict] | None, threshold: float) -> list[tuple[int, int]]:
+    """Links that connect the documents of a block, or of two blocks, with at least ``threshold`` similarity and of different components."""
     same = right is None
     right = left if same else right
     bags = [[np.frombuffer(r["bag"], np.uint64) for r in side] for side in (left, right)]
     both = overlaps(*bags)
     sizes = [np.array([len(b) for b in side], np.float64) for side in bags]
     similar = both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-6
+    similar &= np.array([r["component"] for r in left])[:, None] != np.array([r["component"] for r in right])[None, :]
     rows, columns = np.nonzero(np.triu(similar, 1) if same else similar)
     shift = 0 if same else len(left)
-    keys = [r["key"] for r in left] + ([] if same else [r["key"] for r in right])
-    return [(keys[a], keys[b]) for a, b in forest([(int(a), int(b) + shift) for a, b in zip(rows, columns, strict=True)], len(keys))]
+    nodes = [r["node"] for r in left] + ([] if same else [r["node"] for r in right])
+    return [(nodes[a], nodes[b]) for a, b in forest([(int(a), int(b) + shift) for a, b in zip(rows, columns, strict=True)], len(nodes))]
 
 
 def _link(threshold: float):
@@ -219,50 +243,96 @@ def _link(threshold: float):
                 left, right = (batch.column(i)[at].as_py() for i in (0, 1))
                 found = block_links(left, right, threshold)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``id, key, class_id``: a row per document. ``key`` is a hash of its words (null without words)."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = stash(map_slices(source, f"id {source.schema['id'].dataType.simpleString()}, key binary, bands array<long>, size long", _sign), "signed")
-    nodes = stash(signed.where("key is not null and bands is not null").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size")).where("rep is not null"), "nodes")
-    spread = nodes.select("key", "size", F.explode("bands").alias("band"))
-    crowded = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    # Bags that can be similar enough share one of two neighbouring classes of sizes.
-    grade = F.floor(F.log("size") / F.lit(-np.log(threshold))).cast("int")
-    members = stash(spread.join(crowded, "band", "left_semi").select("key", "band", F.explode(F.array(grade, grade + 1)).alias("grade")), "members")
-    centres = members.groupBy("band", "grade").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "grade", "centre")
-    stars = members.join(centres, ["band", "grade"]).where("key != centre").select(F.col("key").alias("a"), F.col("centre").alias("b"))
-    families = stash(components(stars).select(F.col("node").alias("key"), F.col("component").alias("family")), "families")
-    unstash(members)
-    wanted = families.select("key").join(nodes.select("key", "rep"), "key").select(F.col("rep").alias("id")).distinct()
-    texts = source.join(wanted, "id", "left_semi").select("text")
-    bags = stash(map_slices(texts, "key binary, bag binary", _bag).join(families, "key").dropDuplicates(["key"]), "bags")
-    sizes = bags.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("bag")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = bags.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    packed = stash(dealt.groupBy("family", "blocks", "block").agg(F.collect_list(F.struct("key", "bag")).alias("docs")), "packed")
+def _compare_in_full(members: DataFrame, linked: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links between members of a bucket that are of different components; buckets of two are settled by their star."""
+    parts = members.where("n > 2").join(linked, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    mixed = parts.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("least < most")
+    # Of buckets with the same members one is compared.
+    todo = mixed.groupBy("n", "sum").agg(F.min("band").alias("band")).select("band")
+    held = stash(parts.join(todo, "band").join(bags, "node"), "mixed")
+    sizes = held.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("bag")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = held.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    packed = stash(dealt.groupBy("band", "blocks", "block").agg(F.collect_list(F.struct("node", "component", "bag")).alias("docs")), "packed")
+    unstash(held)
     alone = packed.select(F.col("docs").alias("left"), F.lit(None).cast(packed.schema["docs"].dataType).alias("right"))
-    left = packed.where("block + 1 < blocks").select("family", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), F.col("docs").alias("left"))
-    pairs = left.join(packed.select("family", "block", F.col("docs").alias("right")), ["family", "block"]).select("left", "right")
-    linked = alone.union(pairs).mapInArrow(_link(threshold), "a binary, b binary")
-    links = components(linked)
-    unstash(bags)
-    named = nodes.select("key", "rep").join(links.withColumnRenamed("node", "key"), "key").groupBy("component").agg(F.min("rep").alias("least"))
-    joined = stash(links.join(named, "component").select(F.col("node").alias("key"), "least"), "joined")
-    exact = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("least"))
-    least = exact.join(joined.withColumnRenamed("least", "joint"), "key", "left").select("key", F.coalesce(F.least("joint", "least"), "least").alias("least"))
-    return signed.select("id", "key").join(least, "key", "left").select("id", "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("least")).alias("class_id"))
+    left = packed.where("block + 1 < blocks").select("band", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), F.col("docs").alias("left"))
+    pairs = left.join(packed.select("band", "block", F.col("docs").alias("right")), ["band", "block"]).select("left", "right")
+    with batches_of(members.sparkSession, BLOCK_PAIRS):
+        out = stash(alone.union(pairs).mapInArrow(_link(threshold), "a long, b long"), "links")
+    unstash(packed)
+    return out
+
+
+def _grouped(source: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """From ``id, row, text``: a row per document ``id, row, node, group``, and the groups that hold several nodes ``group, least``; both stashed."""
+    id_type = source.schema["id"].dataType.simpleString()
+    signed = stash(map_slices(source, f"id {id_type}, row long, high long, low long, bands array<long>", _sign), "signed")
+    named = signed.where("high is not null").groupBy("high", "low").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"))
+    # Numbers are given before the nodes are written, so that a lost task's nodes keep their numbers.
+    nodes = stash(named.select(F.monotonically_increasing_id().alias("node"), "high", "low", "rep", "bands"), "nodes")
+    spread = nodes.where("rep is not null and bands is not null").select("node", F.explode("bands").alias("band"))
+    buckets = spread.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stash(spread.join(buckets, "band"), "members")
+    wanted = members.select("node").distinct().join(nodes.select("node", "rep", "high", "low"), "node")
+    texts = source.join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("text")
+    bags = stash(map_slices(texts, "high long, low long, bag binary", _bag).join(wanted.select("node", "high", "low"), ["high", "low"]).dropDuplicates(["node"]).select("node", "bag"), "bags")
+    stars = members.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    pairs = stars.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b").select("a", "b", "x", "y")
+    with batches_of(source.sparkSession, PAIRS):
+        sure = stash(pairs.mapInArrow(_verify(threshold), "a long, b long"), "links")
+    linked = components(sure)
+    more = _compare_in_full(members, linked, bags, threshold)
+    for done in (members, bags, sure):
+        unstash(done)
+    if more.limit(1).count():
+        before, linked = linked, components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        unstash(before)
+    unstash(more)
+    groups = stash(linked.join(nodes.select("node", "rep"), "node").select("node", F.col("component").alias("group"), "rep"), "groups")
+    unstash(linked)
+    least = stash(groups.groupBy("group").agg(F.min("rep").alias("least")), "least")
+    all_nodes = nodes.select("node", "high", "low", "rep").join(groups.select("node", "group"), "node", "left").select("high", "low", "rep", F.coalesce("group", "node").alias("group"))
+    rows = stash(signed.select("id", "row", "high", "low").join(all_nodes, ["high", "low"], "left").select("id", "row", "group", "rep"), "rows")
+    for done in (signed, nodes, groups):
+        unstash(done)
+    return rows, least
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``id, class_id``: a row per row of ``docs``; a text without words has its own id as class."""
+    rows, least = _grouped(docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("row"), F.col(text_col).alias("text")), threshold)
+    out = stash(rows.join(least, "group", "left").select("id", F.when(F.col("group").isNull(), F.col("id")).otherwise(F.coalesce("least", "rep")).alias("class_id")), "classes")
+    unstash(rows)
+    unstash(least)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without near copies: of each class the row with the class's smallest id stays.
+    """``docs`` without near copies: of each class the row with the smallest id stays, rows without an id last.
 
-    Rows without an id all stay, as none of them can be named; so do repeated rows of an id that stays.
+    Exactly one row stays, also of repeated rows. Texts without words are no copies of anything and all stay.
+    Columns stay as they are, whatever their names.
     """
-    name = fresh(docs, "_kept")
-    first = classes(docs, id_col, text_col, threshold).where(F.col("id") == F.col("class_id")).select(F.col("id").alias(name)).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    return named.join(first, named[id_col] == first[name], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    row, number = fresh(docs, "_row"), fresh(docs, "_id")
+    marked = docs.withColumn(row, F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    rows, least = _grouped(marked.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(text_col).alias("text")), threshold)
+    unstash(least)
+    repeats = rows.where("group is not null").groupBy("group", "id", "row").agg(F.count(F.lit(1)).alias("n"))
+    first = repeats.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "n")).alias("first")).select("first.id", "first.row", "first.n")
+    wordless = rows.where("group is null").select("id", "row").distinct().select("id", "row", F.lit(1).cast("long").alias("n"))
+    kept = stash(first.union(wordless).select(F.col("id").alias(number), F.col("row").alias("row"), "n"), "kept")
+    unstash(rows)
+
+    def those(condition: str) -> DataFrame:
+        side = kept.where(condition).select(F.col(number).alias("_i"), F.col("row").alias("_r"))
+        return marked.join(side, marked[id_col].eqNullSafe(side["_i"]) & (marked[row] == side["_r"]), "left_semi")
+
+    out = those("n = 1")
+    if kept.where("n > 1").limit(1).count():
+        out = out.unionByName(those("n > 1").dropDuplicates([row]))
+    return out.drop(row)

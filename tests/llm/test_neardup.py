@@ -114,9 +114,35 @@ def test_keep_one_keeps_columns_and_a_row_of_each_class(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in brute(rows)})
 
 
-def test_keep_one_never_drops_rows_without_an_id(spark):
-    df = spark.createDataFrame([(None, "a b c d e f g"), (None, None), (4, "a b c d e f g"), (6, "A b, c d e f g"), (6, "A b, c d e f g"), (9, None)], "doc_id long, text string")
-    assert sorted(str(r.doc_id) for r in neardup.keep_one(df).collect()) == ["4", "9", "None", "None"]
+def test_keep_one_keeps_one_of_repeated_rows_and_of_rows_without_an_id(spark):
+    text = "a b c d e f g"
+    df = spark.createDataFrame([(None, text), (None, None), (4, text), (6, "A b, c d e f g"), (6, "A b, c d e f g"), (9, None), (9, None), (8, "h i j"), (8, "h i j"), (None, "k l"), (None, "k l")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in neardup.keep_one(df).collect() if r.text) == [("4", text), ("8", "h i j"), ("None", "k l")]
+    assert sorted(str(r.doc_id) for r in neardup.keep_one(df).collect() if not r.text) == ["9", "9", "None"]
+    assert neardup.keep_one(df.limit(0)).count() == 0
+
+
+def test_members_that_the_centre_does_not_link_are_compared(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(24):  # changed places drift, so neighbours are similar and ends are not
+        words = list(base)
+        for at in range(i * 4, i * 4 + 5):
+            words[at % 100] = f"x{at}"
+        rows.append((i + 1, " ".join(words)))
+    got = sorted((r.id, r.class_id) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
+def test_blocks_compare_all_pairs_of_different_components():
+    rng = np.random.default_rng(3)
+    bags = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(12)]
+    docs = [{"node": i, "component": i // 2, "bag": b.tobytes()} for i, b in enumerate(bags)]
+    want = {frozenset((i, j)) for i in range(12) for j in range(i) if i // 2 != j // 2 and neardup.similarity(bags[i], bags[j]) >= 0.4}
+    parts = [neardup.block_links(docs[:5], None, 0.4), neardup.block_links(docs[5:], None, 0.4), neardup.block_links(docs[:5], docs[5:], 0.4)]
+    found = {frozenset(x) for p in parts for x in p}
+    assert found <= want
+    assert len(neardup.forest([tuple(x) for x in found], 12)) == len(neardup.forest([tuple(x) for x in want], 12))
 
 
 def test_components_of_chains_hubs_and_loops(spark):
