@@ -8,31 +8,39 @@ and never looked up out of order. For every candidate the entries read so far gi
 * a lower bound: what was read, plus the worst value that is left in each unread list;
 * an upper bound: what was read, plus the value at which each unread list has arrived.
 
-Reading stops when no candidate outside a query's k best lower bounds, nor an unseen one, has an upper
-bound above the k-th of them. Scores of the candidates that still qualify are then resolved by reading
-on to the end of their lists. All queries of a block advance together, so a round is a few matrix products.
+Once few candidates have an upper bound that reaches the k-th best lower bound, reading goes on for these alone,
+round by round to the end of their lists, which gives their exact scores. All queries of a block advance together: a
+round's entries are the non-zero cells of a matrix of gains, and adding them for all queries is a matrix product.
 
 Candidates are packed into blocks where they are read; queries are packed likewise and their blocks are paired
-with every candidate block by an equi-join on the block's number. Each pair gives k rows per query at most, and
+with every candidate block by equi-joins on block numbers. A task has its pairs in the order of candidate blocks, so
+lists are built once for all query blocks that it holds. Each pair gives k rows per query at most, and
 these are merged. Work is queries times candidates, as asked; what moves is blocks, not pairs of rows.
 
+Sums are taken in single precision, double precision or whole numbers of any size, whichever is exact for the block's
+largest values; a score beyond 64 bits stops the job.
+
 Rows with a null id or vector, or with null or non-finite components, take no part, nor do vectors of another length than
 the query's. Repeated rows of a candidate count once; several vectors under one id count with their best score.
-A query never meets its own id.
+A query never meets its own id. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import batches_of, stash, unstash
 
 SCALE = 64
 #: Rows of a packed block of candidates, and of queries.
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Lists of block numbers, and pairs of blocks in an Arrow batch.
+NUMBER_LISTS, PAIRS = 256, 8
 #: Depth of each round of reading, as a share of the lists.
 ROUNDS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0)
 
@@ -49,80 +57,100 @@ def quantise(vectors: list, scale: int = SCALE) -> tuple[np.ndarray, list[np.nda
             continue
         if np.isfinite(a).all():
             kept.append(i)
-            out.append(np.floor(scale * a))
+            out.append(np.floor(scale * a) + 0.0)
     return np.array(kept, np.int64), out
 
 
+def exact_kind(q: np.ndarray, x: np.ndarray) -> type:
+    """A type in which all sums of products are exact. Gains are differences of two values, and lower and upper bounds are sums of two such sums."""
+    largest = 4 * float(np.abs(q).max()) * float(np.abs(x).max()) * x.shape[1]
+    return np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else object
+
+
+def whole(x: np.ndarray, kind: type) -> np.ndarray:
+    return np.vectorize(int, otypes=[object])(x) if kind is object else x.astype(kind)
+
+
 class SortedLists:
-    """Candidates ``x`` (rows, dimensions) of integers as one sorted list per dimension."""
+    """Candidates ``x`` (rows, dimensions) of whole numbers as one sorted list per dimension."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        # Equal rows of one id count once.
-        _, first = np.unique(np.column_stack([ids.astype(float), x]), axis=0, return_index=True) if len(ids) else (None, np.zeros(0, int))
+        x = np.ascontiguousarray(x, np.float64)
+        # Equal rows of one id count once; compared bit by bit.
+        _, first = np.unique(np.column_stack([ids, x.view(np.int64)]), axis=0, return_index=True) if len(ids) else (None, np.zeros(0, int))
         first.sort()
-        self.ids, self.x = ids[first], np.ascontiguousarray(x[first])
+        self.ids, self.x = ids[first], x[first]
         n, d = self.x.shape
         order = np.argsort(self.x, axis=0, kind="stable")
         self.up = np.empty((n, d), np.int32)  # place from the bottom
         np.put_along_axis(self.up, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
         self.sorted = np.take_along_axis(self.x, order, axis=0)
         self.unique = len(np.unique(self.ids)) == n
+        self.kinds: dict[type, tuple] = {}
+
+    def of(self, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gains of all entries over the worst value of a list read from the top, of one read from the bottom, and the sorted lists."""
+        if kind not in self.kinds:
+            x, lists = whole(self.x, kind), whole(self.sorted, kind)
+            self.kinds[kind] = (x - lists[0], x - lists[-1], lists)
+        return self.kinds[kind]
+
+    def read(self, positive: np.ndarray, negative: np.ndarray, at: np.ndarray | slice, before: int, depth: int, kind: type) -> np.ndarray:
+        """What the entries at places from ``before`` to ``depth`` of the lists add to the lower bounds of the candidates ``at``."""
+        from_top, from_bottom, _ = self.of(kind)
+        up = self.up[at]
+        down = len(self.ids) - 1 - up
+        zero = kind(0) if kind is not object else 0
+        top = np.where((down >= before) & (down < depth), from_top[at], zero)
+        bottom = np.where((up >= before) & (up < depth), from_bottom[at], zero)
+        return positive @ top.T + negative @ bottom.T
 
     def top(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """For each query: its position, candidate ids and exact scores of its k best, ties to the smaller id."""
         n, d = self.x.shape
         if not n or not len(q):
             return []
-        # Sums of products of integers stay exact in single precision below 2^24.
-        kind = np.float32 if np.abs(q).max() * np.abs(self.x).max() * d < 1 << 24 else np.float64
-        positive, negative = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-        x = self.x.astype(kind)
-        low, high = self.sorted[0].astype(kind), self.sorted[-1].astype(kind)
-        worst = positive @ low + negative @ high
-        score_low = np.repeat(worst[:, None], n, axis=1)
+        kind = exact_kind(q, self.x)
+        q = whole(q, kind)
+        positive, negative = np.maximum(q, 0), np.minimum(q, 0)
+        from_top, from_bottom, lists = self.of(kind)
+        lower = np.repeat((positive @ lists[0] + negative @ lists[-1])[:, None], n, axis=1)
         own = query_ids[:, None] == self.ids[None, :]
-        score_low[own] = -np.inf
         active = np.arange(len(q))
-        out, before = [], 0
-        need = k if self.unique else n
-        for share in ROUNDS:
-            depth = min(n, int(np.ceil(n * share)))
-            from_bottom = (self.up >= before) & (self.up < depth)
-            down = n - 1 - self.up
-            from_top = (down >= before) & (down < depth)
-            # Entries of this round replace the worst value that had stood for them.
-            gain_top = np.where(from_top, x - low, 0)
-            gain_bottom = np.where(from_bottom, x - high, 0)
-            score_low[active] += positive[active] @ gain_top.T + negative[active] @ gain_bottom.T
-            before = depth
+        out, need = [], k if self.unique else n
+        depths = [min(n, math.ceil(n * share)) for share in ROUNDS]
+        for step, (before, depth) in enumerate(zip([0, *depths], depths, strict=False)):
+            lower[active] += self.read(positive[active], negative[active], slice(None), before, depth, kind)
             if depth == n:
                 break
-            if need >= n:
+            if need >= n - 1:
                 continue
-            reach_top, reach_bottom = self.sorted[n - depth].astype(kind), self.sorted[depth - 1].astype(kind)
-            slack = positive[active] @ np.where(down >= depth, reach_top - low, 0).T + negative[active] @ np.where(self.up >= depth, reach_bottom - high, 0).T
-            lower = score_low[active]
-            kth = -np.partition(-lower, need - 1, axis=1)[:, need - 1]
-            upper = lower + slack
-            qualify = upper >= kth[:, None]
-            # Those whose rivals are few enough leave; their remaining entries are read for these only.
+            # Unread lists have arrived here; a candidate's unread entries are no better.
+            reach_top, reach_bottom = lists[n - depth] - lists[0], lists[depth - 1] - lists[-1]
+            slack = positive[active] @ np.where(n - 1 - self.up >= depth, reach_top, 0).T + negative[active] @ np.where(self.up >= depth, reach_bottom, 0).T
+            worst = np.where(own[active], -np.inf, lower[active].astype(float))
+            kth = np.partition(worst, n - need, axis=1)[:, n - need]
+            qualify = ((lower[active] + slack).astype(float) >= kth[:, None]) & ~own[active]
             done = qualify.sum(1) <= 4 * need
-            for row in np.flatnonzero(done):
-                at = np.flatnonzero(qualify[row])
-                out.append((active[row], at, x[at] @ q[active[row]].astype(kind)))
+            for row, mine in zip(active[done], qualify[done], strict=True):
+                at = np.flatnonzero(mine)
+                score = lower[row, at]
+                for since, until in zip(depths[step:], depths[step + 1 :], strict=False):
+                    score = score + self.read(positive[row : row + 1], negative[row : row + 1], at, since, until, kind)[0]
+                out.append((row, at, score))
             active = active[~done]
             if not len(active):
                 break
         for row in active:
-            at = np.flatnonzero(score_low[row] > -np.inf)
+            at = np.flatnonzero(~own[row])
+            score = lower[row, at]
             if self.unique and len(at) > k:
-                kth = np.partition(score_low[row][at], len(at) - k)[len(at) - k]
-                at = at[score_low[row][at] >= kth]
-            out.append((row, at, score_low[row][at]))
+                kth = np.partition(score, len(at) - k)[len(at) - k]
+                at, score = at[score >= kth], score[score >= kth]
+            out.append((row, at, score))
         best = []
         for row, at, score in out:
-            mine = self.ids[at] != query_ids[row]
-            ids, score = self.ids[at][mine], score[mine].astype(np.int64)
+            ids, score = self.ids[at], score.astype(np.int64)
             order = np.lexsort((ids, -score))
             if not self.unique:
                 _, first = np.unique(ids[order], return_index=True)
@@ -131,15 +159,23 @@ class SortedLists:
         return best
 
 
+def _bytes(x: np.ndarray) -> tuple[str, bytes]:
+    """Whole numbers as bytes, and the smallest type that holds them."""
+    largest = np.abs(x).max()
+    kind = "<i2" if largest < 1 << 15 else "<i4" if largest < 1 << 31 else "<f8"
+    return kind, x.astype(kind).tobytes()
+
+
 def _pack(rows: int, scale: int):
-    """Packs rows (id, vector) into blocks (ids and integers as binary, dimensions); the task keeps one block open per length."""
+    """Packs rows (id, vector) into blocks (ids and whole numbers as binary, their type, dimensions); the task keeps one block open per length."""
 
     def run(batches):
         held: dict[int, tuple[list, list]] = {}
 
         def block(d):
             ids, x = held.pop(d)
-            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(x, np.float64).tobytes()], pa.binary()), pa.array([d], pa.int32())], names=["ids", "x", "d"])
+            kind, packed = _bytes(np.array(x))
+            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([packed], pa.binary()), pa.array([kind]), pa.array([d], pa.int32())], names=["ids", "x", "kind", "d"])
 
         for batch in batches:
             kept, vectors = quantise(batch.column(1).to_pylist(), scale)
@@ -155,16 +191,19 @@ def _pack(rows: int, scale: int):
     return run
 
 
-def _numbers(b: bytes, d: int) -> np.ndarray:
-    return np.frombuffer(b, np.float64).reshape(-1, d)
+def _numbers(b: bytes, kind: str, d: int) -> np.ndarray:
+    return np.frombuffer(b, kind).reshape(-1, d).astype(np.float64)
 
 
 def _match(k: int):
     def run(batches):
+        number, lists = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                lists = SortedLists(np.frombuffer(r["ids"], np.int64), _numbers(r["x"], r["d"]))
-                query_ids, q = np.frombuffer(r["query_ids"], np.int64), _numbers(r["q"], r["d"])
+            for at in range(batch.num_rows):
+                r = {name: batch.column(i)[at].as_py() for i, name in enumerate(batch.schema.names)}
+                if lists is None or r["block"] != number:
+                    number, lists = r["block"], SortedLists(np.frombuffer(r["ids"], np.int64), _numbers(r["x"], r["kind"], r["d"]))
+                query_ids, q = np.frombuffer(r["query_ids"], np.int64), _numbers(r["q"], r["query_kind"], r["d"])
                 found = lists.top(query_ids, q, k)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(i), query_ids[row]) for row, i, _ in found])), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["query_id", "vec_id", "score"])
@@ -173,23 +212,31 @@ def _match(k: int):
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k candidates with the largest integer inner product for each query."""
+    """``query_id, rank, vec_id, score``: the k candidates with the largest integer inner product for each query; no rows where either side is empty."""
 
     def side(df: DataFrame, rows: int) -> DataFrame:
         plain = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
         # Small partitions are joined, without a shuffle, so that blocks fill up.
-        return plain.coalesce(max(1, -(-df.count() // rows))).mapInArrow(_pack(rows, scale), "ids binary, x binary, d int")
+        return plain.coalesce(max(1, -(-df.count() // rows))).mapInArrow(_pack(rows, scale), "ids binary, x binary, kind string, d int")
 
+    spark = queries.sparkSession
     # Numbers are given before the blocks are written, so that a lost task's block keeps its number.
     blocks = stash(side(candidates, CANDIDATE_BLOCK).withColumn("block", F.monotonically_increasing_id()), "candidates")
-    asked = stash(side(queries, QUERY_BLOCK), "queries")
-    per_query_block = asked.select(F.col("ids").alias("query_ids"), F.col("x").alias("q"), "d", F.monotonically_increasing_id().alias("query_block"))
-    # Each query block gets a row for every candidate block of its length: numbers only, joined to payloads by key.
-    numbers = blocks.groupBy("d").agg(F.collect_list("block").alias("at"))
-    targets = per_query_block.join(numbers, "d").select("query_ids", "q", "d", F.explode("at").alias("block"))
-    pairs = targets.join(blocks.select("block", "ids", "x"), "block").select("ids", "x", "d", "query_ids", "q")
-    width = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    local = pairs.repartition(width).mapInArrow(_match(k), "query_id long, vec_id long, score long")
+    asked = stash(side(queries, QUERY_BLOCK).withColumn("query_block", F.monotonically_increasing_id()), "queries")
+    # Numbers of blocks are paired first, in lists of bounded length; payloads follow by equi-joins on them.
+    numbers = blocks.groupBy("d", F.pmod(F.xxhash64("block"), F.lit(NUMBER_LISTS)).alias("part")).agg(F.collect_list("block").alias("at"))
+    targets = asked.select("query_block", "d").join(numbers, "d").select("query_block", F.explode("at").alias("block"))
+    wanted = asked.select("query_block", F.col("ids").alias("query_ids"), F.col("x").alias("q"), F.col("kind").alias("query_kind"))
+    pairs = targets.join(wanted, "query_block").join(blocks, "block")
+    # Query blocks of a candidate block go to as many tasks as keep all of them busy.
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = -(-2 * width // max(1, blocks.count()))
+    dealt = pairs.repartition(width, "block", F.pmod(F.xxhash64("query_block"), F.lit(spread))).sortWithinPartitions("block")
+    ordered = dealt.select("block", "ids", "x", "kind", "d", "query_ids", "q", "query_kind")
+    with batches_of(spark, PAIRS):
+        local = stash(ordered.mapInArrow(_match(k), "query_id long, vec_id long, score long"), "found")
+    for done in (blocks, asked):
+        unstash(done)
     merged = local.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -66,3 +66,41 @@ def test_operator_on_odd_rows(spark):
 
 def test_query_equals_sql(spark, sf):
     assert rows_of_spark(op4_topk(spark, sf)) == rows_of_duckdb(connect(sf), OP4_SQL)
+
+
+@pytest.mark.parametrize("size", [4001, 60_000, 2_000_000, 40_000_000])
+def test_large_values_and_ids_are_exact(size):
+    rng = np.random.default_rng(size)
+    n, d, k = 50, 3, 50
+    ids = np.array([(1 << 53) + i for i in range(n)], np.int64)
+    x = rng.integers(-size, size, (n, d)).astype(float)
+    x[1], x[2] = x[0], size - 1
+    lists = topk.SortedLists(ids, x)
+    for row, found, scores in lists.top(np.array([-1, (1 << 53) + 1]), np.array([x[2], x[3]]), k):
+        q = [int(v) for v in (x[2], x[3])[row]]
+        want = sorted(((int(i), sum(a * int(b) for a, b in zip(q, v, strict=True))) for i, v in zip(ids, x, strict=True) if not (row == 1 and i == ids[1])), key=lambda p: (-p[1], p[0]))
+        assert list(zip(found.tolist(), scores.tolist(), strict=True)) == want
+
+
+def test_one_dimension_by_hand():
+    lists = topk.SortedLists(np.array([1, 2]), np.array([[4001.0], [3999.0]]))
+    ((_, ids, scores),) = lists.top(np.array([9]), np.array([[4001.0]]), 5)
+    assert ids.tolist() == [1, 2] and scores.tolist() == [16_008_001, 15_999_999]
+
+
+def test_early_ends_resolve_exact_scores():
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(0, 1, (3000, 3)) * 64)
+    x[:30] += rng.integers(900, 1200, (30, 3))
+    lists, q = topk.SortedLists(np.arange(3000), x), np.array([[64.0, 32.0, 50.0], [-64.0, 10.0, 3.0]])
+    for row, found, scores in lists.top(np.array([-1, -2]), q, 10):
+        want = sorted(((-int(s), i) for i, s in enumerate(x @ q[row])))[:10]
+        assert list(zip((-scores).tolist(), found.tolist(), strict=True)) == want
+
+
+def test_operator_on_large_vectors_and_ids(spark):
+    big = 1 << 53
+    rows = [(big, [62.6, 1.0]), (big + 1, [62.6, 1.0]), (big + 2, [-62.6, 1.0]), (20, [1e6, -3e6]), (40, [62.53, -0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df.where("vec_id in (20, 40)"), df, 6).collect())
+    assert got == brute([r for r in rows if r[0] in (20, 40)], rows, 6)
