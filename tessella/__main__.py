@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import discriminant, mixture, neighbors, regression, sampling, stats
 from .sources import layouts, params
@@ -36,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--dimensions", type=positive, required=True)
         return p
 
-    job("stats", "mean, extremes, covariance, skewness and kurtosis of idx, f1..fd")
+    job("stats", "mean, extremes, covariance, skewness and kurtosis of idx, f1..fd; further fields are not read")
     p = job("ols", "least squares on y, f1..fd")
     p.add_argument("--bias", action=argparse.BooleanOptionalAction, default=True)
     p = job("ridge", "ridge regression on idx, f1..fd, y with a penalty chosen on a hold-out sample")
@@ -45,16 +46,21 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--scaling", choices=["none", "z-score", "max-min"], default="none")
     p = job("gda", "class counts, means and scatter of idx, label, f1..fd")
     p.add_argument("--targets", type=json.loads, required=True, help="JSON list of labels")
+    p = job("gda-posterior", "class probabilities of idx, label, f1..fd by the parameters that gda has written")
+    p.add_argument("--parameters", required=True, help="output folder of gda")
+    p.add_argument("--targets", type=json.loads, required=True, help="JSON list of labels, as given to gda")
+    p.add_argument("--method", choices=["QDA", "LDA"], default="QDA")
     p = job("knn", "nearest neighbours over idx, f1..fd, y")
     p.add_argument("--knn-type", choices=["regression", "classification"], required=True)
     p.add_argument("--n-neighbours", type=positive, required=True)
     p.add_argument("--points-to-estimate", required=True, help="file of points f1..fd")
-    p = job("gmm", "Gaussian mixture of idx, f1..fd: initial state and steps, one output folder per state")
-    p.add_argument("--clusters", type=positive, required=True)
-    p.add_argument("--sample-size", type=positive, required=True)
-    p.add_argument("--kmeans-convergence", type=float, default=0.01)
-    p.add_argument("--iteration-limit", type=positive, default=100)
-    p.add_argument("--kmeans-reruns", type=positive, default=10)
+    for name, about in (("gmm-init", "initial state of a Gaussian mixture of idx, f1..fd"), ("gmm", "Gaussian mixture of idx, f1..fd: initial state and steps, one output folder per state")):
+        p = job(name, about)
+        p.add_argument("--clusters", type=positive, required=True)
+        p.add_argument("--sample-size", type=positive, required=True)
+        p.add_argument("--kmeans-convergence", type=float, default=0.01)
+        p.add_argument("--iteration-limit", type=positive, default=100)
+        p.add_argument("--kmeans-reruns", type=positive, default=10)
     p.add_argument("--em-iteration-limit", type=positive, default=10)
     p.add_argument("--em-convergence", type=float, default=0.01)
     p = job("gmm-step", "one step of a mixture of idx, f1..fd from given parameters")
@@ -85,7 +91,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return layouts.read_delimited(spark, path, layout)
 
     if a.job == "stats":
-        params.save_params(spark, describe(read(layouts.mixture_layout(d)), x), a.output)
+        params.save_params(spark, describe(read(layouts.statistics_layout(d)), x), a.output)
     elif a.job == "ols":
         params.save_params(spark, regression.ols(read(layouts.regression_layout(d)), x, "y", a.bias).coefficients, a.output)
     elif a.job == "ridge":
@@ -95,12 +101,20 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         params.save_params(spark, model.to_dict() | {"penalty": model.penalty}, a.output)
     elif a.job == "gda":
         params.save_params(spark, discriminant.fit_gda(read(layouts.discriminant_layout(d)), "label", x, a.targets).to_dict(), a.output)
+    elif a.job == "gda-posterior":
+        model = discriminant.GaussianClasses.from_dict(a.targets, params.load_params(spark, a.parameters))
+        params.write_lines(discriminant.with_posteriors(read(layouts.discriminant_layout(d)), model, x, ["idx"], a.method), a.output)
     elif a.job == "knn":
         points = read(layouts.points_layout(d), a.points_to_estimate)
-        params.write_lines(neighbors.knn(read(layouts.neighbours_layout(d)), points, a.n_neighbours, a.knn_type, x, "y", "idx"), a.output)
-    elif a.job == "gmm":
+        # Ties go to the smaller index: shorter ones first, so whole numbers are in their order.
+        rows = read(layouts.neighbours_layout(d)).withColumn("idx", F.concat(F.lpad(F.length("idx").cast("string"), 10, "0"), F.lit(":"), "idx"))
+        params.write_lines(neighbors.knn(rows, points, a.n_neighbours, a.knn_type, x, "y", "idx"), a.output)
+    elif a.job in ("gmm", "gmm-init"):
         df = read(layouts.mixture_layout(d))
         start = mixture.init(df, x, a.clusters, a.sample_size, a.kmeans_reruns, a.iteration_limit, a.kmeans_convergence, a.seed, "idx")
+        if a.job == "gmm-init":
+            params.save_params(spark, start.to_dict(), a.output)
+            return
         store = lambda step, m: params.save_params(spark, m.to_dict(), params.iteration_path(a.output, step))
         store(0, start)
         mixture.fit(df, start, x, a.em_iteration_limit, a.em_convergence, store)

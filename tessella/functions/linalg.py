@@ -27,7 +27,12 @@ def cholesky_solve(a, b) -> np.ndarray:
     return np.linalg.solve(low.T, np.linalg.solve(low, np.asarray(b, dtype=float)))
 
 
-def inverse_logdet(a) -> tuple[np.ndarray, float]:
+def whitener(a) -> tuple[np.ndarray, float]:
+    """``w`` with ``w.T @ w`` the inverse of ``a``, and the logarithm of its determinant."""
     low = _factor(a)
-    half = np.linalg.inv(low)
-    return half.T @ half, 2.0 * float(np.log(np.diag(low)).sum())
+    return np.linalg.inv(low), 2.0 * float(np.log(np.diag(low)).sum())
+
+
+def inverse_logdet(a) -> tuple[np.ndarray, float]:
+    half, logdet = whitener(a)
+    return half.T @ half, logdet

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import TargetValueError
-from ..functions.expr import Feature, col, gaussian_log_density, softmax
+from ..functions.expr import Feature, features, gaussian_log_density, softmax
 from .gram import gram
 
 
@@ -41,22 +41,30 @@ class GaussianClasses:
         if method not in ("QDA", "LDA"):
             raise ValueError("method must be 'QDA' or 'LDA'")
         covs = self.covariances if method == "QDA" else [self.pooled(unbiased)] * len(self.targets)
-        columns = [col(c).cast("double") for c in x]
+        columns = features(x)
         return [F.lit(float(np.log(p))) + gaussian_log_density(columns, m, c) for p, m, c in zip(self.priors, self.means, covs, strict=True)]
 
     def posterior(self, x: Sequence[Feature], method: str = "QDA", unbiased: bool = False) -> list[Column]:
         """P(class | x) as a column per target; for a handful of targets (``with_posteriors`` takes many)."""
         return softmax(self.log_terms(x, method, unbiased))
 
+    @classmethod
+    def from_dict(cls, targets: Sequence, d: dict) -> GaussianClasses:
+        if len(targets) != len(d["class counts"]):
+            raise ValueError(f"{len(targets)} targets for {len(d['class counts'])} classes")
+        return cls(list(targets), np.array(d["class counts"], float), np.array(d["means"], float), np.array(d["covariates"], float))
+
     def to_dict(self) -> dict:
         return {"total": self.total, "class counts": [int(c) for c in self.counts], "means": self.means.tolist(), "covariates": self.scatter.tolist()}
 
 
 def fit_gda(df: DataFrame, label: str, x: Sequence[Feature], targets: Sequence | None = None) -> GaussianClasses:
-    """Counts, means and scatter matrices by class in one pass. A label outside ``targets`` is an error, not filtered."""
+    """Counts, means and scatter matrices by class in one pass. A label outside ``targets``, or a null one, is an error, not filtered."""
     groups = gram(df, x, by=label)
     if not groups:
         raise ValueError("no rows")
+    if None in groups:
+        raise TargetValueError(None, targets or sorted(g for g in groups if g is not None))
     targets = sorted(groups) if targets is None else list(targets)
     for found in groups:
         if found not in targets:

@@ -1,4 +1,4 @@
-"""Lloyd's algorithm: assignments are expressions, one aggregate per step."""
+"""Lloyd's algorithm: assignments are expressions, one aggregate per step. A null feature stops the job."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import Feature, col, nearest
-from .sampling import sample_n
+from ..functions.expr import Feature, features, nearest
+from .sampling import kept, sample_n
 
 
 @dataclass(frozen=True)
@@ -22,18 +22,18 @@ class Clusters:
 
 def assign(df: DataFrame, x: Sequence[Feature], centroids, into: str = "cluster") -> DataFrame:
     """Adds the index of the nearest centroid; the first wins ties."""
-    return df.withColumn(into, nearest([col(c).cast("double") for c in x], np.asarray(centroids, float))[0])
+    return df.withColumn(into, nearest(features(x), np.asarray(centroids, float))[0])
 
 
 def loss(df: DataFrame, x: Sequence[Feature], centroids) -> DataFrame:
     """One row ``loss``: the sum of squared distances to the nearest centroid."""
-    return df.agg(F.sum(nearest([col(c).cast("double") for c in x], np.asarray(centroids, float))[1]).alias("loss"))
+    return df.agg(F.sum(nearest(features(x), np.asarray(centroids, float))[1]).alias("loss"))
 
 
 def step(df: DataFrame, x: Sequence[Feature], centroids) -> tuple[np.ndarray, np.ndarray, float]:
     """New centroids, cluster sizes and the loss of the assignment. An empty cluster keeps its centroid."""
     old = np.asarray(centroids, float)
-    columns = [col(c).cast("double") for c in x]
+    columns = features(x)
     index, least = nearest(columns, old)
     named = df.select(*[c.alias(f"x{i}") for i, c in enumerate(columns)], index.alias("k"), least.alias("l"))
     new, sizes, lost = old.copy(), np.zeros(len(old), int), 0.0
@@ -57,19 +57,16 @@ def lloyd(df: DataFrame, x: Sequence[Feature], centroids, iteration_limit: int =
 
 
 def initial_centroids(df: DataFrame, x: Sequence[Feature], k: int, seed: int = 0, key: str | None = None) -> np.ndarray:
-    rows = sample_n(df, k, seed, key).select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)]).collect()
+    rows = sample_n(df, k, seed, key).select(*[c.alias(f"x{i}") for i, c in enumerate(features(x))]).collect()
     if len(rows) < k:
         raise ValueError(f"{k} clusters need as many rows; there are {len(rows)}")
     return np.array([list(r) for r in rows])
 
 
 def best_of(df: DataFrame, x: Sequence[Feature], k: int, reruns: int = 10, iteration_limit: int = 100, tolerance: float = 0.01, seed: int = 0, key: str | None = None) -> Clusters:
-    """The run with the smallest loss; ``df`` is read once and kept for all runs."""
+    """The run with the smallest loss; ``df`` is read once and kept for all runs. A frame that the caller keeps stays kept."""
     if reruns < 1:
         raise ValueError("reruns must be positive")
-    held = df.persist()
-    try:
+    with kept(df) as held:
         runs = [lloyd(held, x, initial_centroids(held, x, k, seed + r, key), iteration_limit, tolerance) for r in range(reruns)]
-    finally:
-        held.unpersist()
     return min(runs, key=lambda r: r.loss)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.expr import squared_distance, unpack
+from ..functions.expr import features, squared_distance
+from ..functions.expr import vector as as_vector
 
 #: Query points are sent to every task up to this many numbers (rows times features); more go through a grid.
 BROADCAST_NUMBERS = 1_000_000
+#: Distances of a block that are held at a time.
+TILE = 2_000_000
 #: Training rows are dealt to so many buckets in the grid; queries are copied to each.
 GRID_BUCKETS = 64
 
@@ -18,34 +25,76 @@ GRID_BUCKETS = 64
 def neighbours(train: DataFrame, queries: DataFrame, k: int, train_id: str, query_id: str, x: Sequence[str] | None = None, vector: str | None = None, dimensions: int = 0, label: str | None = None, rounded: int | None = None, leave_out_own: bool = False) -> DataFrame:
     """``query_id, rank, train_id, d2[, label]``: the k rows with the smallest squared distance, ties to the smaller id.
 
-    Each task keeps its own k best per query before the shuffle (WindowGroupLimit), which then moves
-    k rows per task and query. Give features as the columns ``x`` of both sides or as an array column ``vector``.
+    Each task keeps its own k best per query before the shuffle, which then moves k rows per task and query.
+    Give features as the columns ``x`` of both sides or as an array column ``vector``; a null feature stops the job.
     ``rounded`` rounds distances before they are compared. ``leave_out_own`` is for queries that are
-    training rows themselves: a row is then no neighbour of the query with its id.
+    training rows themselves: a row is then no neighbour of the query with its id. Rows at no finite distance are no neighbours.
     """
     if k < 1:
         raise ValueError("k must be positive")
     d = len(x) if x else dimensions
 
     def side(df: DataFrame, tag: str, key: str, extra: Sequence[Column]) -> DataFrame:
-        features = [F.col(c).cast("double") for c in x] if x else unpack(vector, d)
-        return df.select(F.col(key).alias(f"{tag}_id"), *[f.alias(f"{tag}{i}") for i, f in enumerate(features)], *extra)
+        return df.select(F.col(key).alias(f"{tag}_id"), (F.array(*features(x)) if x else as_vector(vector, d)).alias(tag), *extra)
 
     t = side(train, "t", train_id, [F.col(label).alias("t_label")] if label else [])
     q = side(queries, "q", query_id, [])
     size = queries.select(query_id).limit(BROADCAST_NUMBERS // max(1, d) + 1).count() * d
-    if size <= BROADCAST_NUMBERS:
-        both = t.crossJoin(F.broadcast(q))
-    else:
-        both = t.withColumn("bucket", F.pmod(F.xxhash64("t_id"), F.lit(GRID_BUCKETS)).cast("int")).join(q.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(GRID_BUCKETS - 1)))), "bucket")
-    if leave_out_own:
-        both = both.where("q_id != t_id")
-    d2 = squared_distance([F.col(f"t{i}") for i in range(d)], [F.col(f"q{i}") for i in range(d)])
-    scored = both.select("q_id", "t_id", (F.round(d2, rounded) if rounded is not None else d2).alias("d2"), *(["t_label"] if label else []))
+    scored = _by_blocks(t, q, k, d, rounded, leave_out_own) if size <= BROADCAST_NUMBERS else _by_grid(t, q, d, leave_out_own)
+    if rounded is not None:
+        scored = scored.withColumn("d2", F.round("d2", rounded))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("d2", "t_id"))).where(F.col("rank") <= k)
     return best.select(F.col("q_id").alias("query_id"), "rank", F.col("t_id").alias("train_id"), "d2", *([F.col("t_label").alias("label")] if label else []))
 
 
+def _by_blocks(t: DataFrame, q: DataFrame, k: int, d: int, rounded: int | None, leave_out_own: bool) -> DataFrame:
+    """The k nearest of each block of training rows: a matrix product bounds the distances, those within reach are computed as they are."""
+    asked = q.toArrow()  # of checked size
+    ids, points = asked.column(0).combine_chunks(), asked.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+    schema = T.StructType([T.StructField("q_id", q.schema["q_id"].dataType), *[f for f in t.schema.fields if f.name != "t"], T.StructField("d2", T.DoubleType())])
+    rows = max(1, TILE // max(1, len(points)))
+
+    def nearest(batch: pa.RecordBatch, where: dict) -> pa.RecordBatch:
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        squares = np.square(points).sum(1)[:, None] + np.square(x).sum(1)[None, :]
+        bound = squares - 2 * (points @ x.T)
+        error = 1e-13 * (d + 4) * squares + (0 if rounded is None else 10.0**-rounded)
+        if leave_out_own:
+            for c, i in enumerate(batch.column(0).to_pylist()):
+                for r in where.get(i, ()):
+                    bound[r, c] = error[r, c] = np.inf
+        most = min(k, x.shape[0]) - 1
+        reach = np.partition(bound + error, most, axis=1)[:, most]
+        r, c = np.nonzero((bound - error <= reach[:, None]) & np.isfinite(bound))
+        d2 = np.square(x[c] - points[r]).sum(1)
+        place = np.empty(len(x), np.int64)
+        place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(len(x))  # ties to the smaller id
+        order = np.lexsort((place[c], d2 if rounded is None else np.round(d2, rounded), r))
+        first = np.searchsorted(r[order], np.arange(len(points)))
+        keep = order[np.arange(len(order)) - first[r[order]] < k]
+        taken = pa.array(c[keep])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(r[keep])), batch.column(0).take(taken), *[batch.column(i).take(taken) for i in range(2, batch.num_columns)], pa.array(d2[keep])], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where: dict = {}
+        for r, i in enumerate(ids.to_pylist() if leave_out_own else ()):
+            where.setdefault(i, []).append(r)
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(points) else 0, rows):
+                yield nearest(batch.slice(at, rows), where)
+
+    return t.mapInArrow(run, schema)
+
+
+def _by_grid(t: DataFrame, q: DataFrame, d: int, leave_out_own: bool) -> DataFrame:
+    """Queries of any number: training rows are dealt to buckets, queries are copied to each; the window keeps k per task before its shuffle."""
+    both = t.withColumn("bucket", F.pmod(F.xxhash64("t_id"), F.lit(GRID_BUCKETS)).cast("int")).join(q.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(GRID_BUCKETS - 1)))), "bucket")
+    if leave_out_own:
+        both = both.where("q_id != t_id")
+    d2 = squared_distance([F.col("t")[i] for i in range(d)], [F.col("q")[i] for i in range(d)])
+    return both.select("q_id", *[c for c in t.columns if c != "t"], d2.alias("d2")).where("d2 < double('infinity')")
+
+
 def classify(near: DataFrame) -> DataFrame:
     """Majority label of each query; the smaller label wins ties."""
     votes = near.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import Feature, col, total
 from ..functions.linalg import cholesky_solve
-from .gram import Gram, gram
+from .gram import Gram, gram, merge
 from .sampling import priority, sample_bound
 
 SCALINGS = (None, "z-score", "max-min")
@@ -92,12 +92,6 @@ def ridge(df: DataFrame, x: Sequence[Feature], y: Feature, penalty: float, scali
     return _solve(g, len(x), penalty, scaling)
 
 
-def merge(a: Gram, b: Gram) -> Gram:
-    n = a.n + b.n
-    gap = b.mean - a.mean
-    return Gram(n, a.mean + gap * (b.n / n), a.centred + b.centred + np.outer(gap, gap) * (a.n * b.n / n), np.minimum(a.low, b.low), np.maximum(a.high, b.high))
-
-
 def hold_out_error(model: RidgeModel, held: Gram) -> float:
     """Mean squared error on the hold-out, from its moments alone."""
     d = len(model.theta)

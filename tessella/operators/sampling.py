@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` persisted for a while, unless the caller has done so; then it is left as it is."""
+    level = df.storageLevel
+    if level.useMemory or level.useDisk:
+        yield df
+        return
+    held = df.persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def priority(key: str, seed: int) -> Column:
     """A pseudo-random order that depends on seed and key alone, at any partitioning."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))

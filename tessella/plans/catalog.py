@@ -196,6 +196,15 @@ def gda_posterior_lda(spark, sf_dir):
     return _posterior(spark, sf_dir, "LDA")
 
 
+@query("select label, i - 1 i, j - 1 j, round(covar_pop(v[i], v[j]), 9)+0.0 cov from (select label, embedding::double[] v from embeddings), range(1,65) a(i), range(1,65) b(j) group by label, i, j")
+def gda_embeddings(spark, sf_dir):
+    """Covariances by class of vectors that are too wide for an expression per cell."""
+    vectors = table(spark, sf_dir, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
+    m = discriminant.fit_gda(vectors, "label", [f"x{i}" for i in range(64)])
+    cells = [(t, i, j, float(c[i, j])) for t, c in zip(m.targets, m.covariances, strict=True) for i in range(64) for j in range(64)]
+    return spark.createDataFrame(cells, "label int, i long, j long, cov double").select("label", "i", "j", rounded("cov", 9).alias("cov"))
+
+
 # K-means -----------------------------------------------------------------------------------------------
 
 CENTROIDS = [[10.0, 20.0], [30.0, 50.0], [45.0, 20.0]]
@@ -283,6 +292,29 @@ def gmm_em_3_steps(spark, sf_dir):
     return _mixture(spark, mixture.fit(lines(spark, sf_dir), START, ["quantity", "price"], iteration_limit=4, tolerance=-1.0)[0])
 
 
+#: Five components over the first eight dimensions of the embeddings.
+WIDE_K, WIDE_D = 5, 8
+WIDE_START = mixture.Mixture.from_dict({"mixing": [1 / WIDE_K] * WIDE_K, "mu": [[0.02 * ((3 * k + i) % 7 - 3) for i in range(WIDE_D)] for k in range(WIDE_K)], "covariance": [[[0.02 * (1 + k % 3) if i == j else 0.0 for j in range(WIDE_D)] for i in range(WIDE_D)] for k in range(WIDE_K)]})
+
+
+def _em_wide() -> str:
+    """The covariances to start from are multiples of the unit matrix, so densities need no inverse."""
+    logs = " union all ".join(f"select rid, v, {k} k, ln({WIDE_START.mixing[k]}) - {WIDE_D / 2}*ln({WIDE_START.covariance[k][0][0]}) - 0.5*list_sum(list_transform(list_zip(v, {WIDE_START.mu[k].tolist()}), lambda z: (z[1]-z[2])*(z[1]-z[2])))/{WIDE_START.covariance[k][0][0]} lp from p" for k in range(WIDE_K))
+    return f"""with p as materialized (select row_number() over () rid, list_slice(embedding::double[], 1, {WIDE_D}) v from embeddings), d as ({logs}),
+    u as (select v, k, exp(lp) / sum(exp(lp)) over (partition by rid) r from d),
+    m as (select k, i, sum(r) / (select count(*) from p) w, sum(r * v[i]) / sum(r) mu from u, range(1, {WIDE_D + 1}) a(i) group by k, i)
+    select x.k::int component, x.i - 1 i, y.i - 1 j, round(any_value(x.w), 6)+0.0 mixing, round(any_value(x.mu), 6)+0.0 mu, round(sum(u.r * (u.v[x.i] - x.mu) * (u.v[y.i] - y.mu)) / sum(u.r), 7)+0.0 cov
+    from u join m x on x.k = u.k join m y on y.k = u.k group by x.k, x.i, y.i"""
+
+
+@query(_em_wide())
+def gmm_em_step_embeddings(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(WIDE_D)])
+    m = mixture.em_step(vectors, WIDE_START, vectors.columns)
+    cells = [(k, i, j, float(m.mixing[k]), float(m.mu[k, i]), float(m.covariance[k, i, j])) for k in range(WIDE_K) for i in range(WIDE_D) for j in range(WIDE_D)]
+    return spark.createDataFrame(cells, "component int, i long, j long, mixing double, mu double, cov double").select("component", "i", "j", rounded("mixing").alias("mixing"), rounded("mu").alias("mu"), rounded("cov", 7).alias("cov"))
+
+
 PART_MIX = mixture.Mixture.from_dict({"mixing": [0.3, 0.7], "mu": [[15.0, 1.2], [35.0, 1.6]], "covariance": [[[90.0, 0.5], [0.5, 0.2]], [[120.0, -0.4], [-0.4, 0.1]]]})
 
 
@@ -301,14 +333,16 @@ def gmm_responsibilities(spark, sf_dir):
 
 # Neighbours and samples ---------------------------------------------------------------------------------------
 
+# Every id divisible by 20 is a query, all rows but its own are training rows.
+
 _NEAR = """with e as (select vec_id, label, embedding::double[] v from embeddings),
-d as (select q.vec_id qid, t.vec_id, t.label, round(list_sum(list_transform(range(1,65), lambda i: (t.v[i]-q.v[i])*(t.v[i]-q.v[i]))),9) d2 from e t, e q where q.vec_id<20 and t.vec_id>=20),
+d as (select q.vec_id qid, t.vec_id, t.label, round(list_sum(list_transform(range(1,65), lambda i: (t.v[i]-q.v[i])*(t.v[i]-q.v[i]))),9) d2 from e t, e q where q.vec_id % 20 = 0 and t.vec_id <> q.vec_id),
 r as (select *, row_number() over (partition by qid order by d2, vec_id) rn from d qualify rn <= 5) """
 
 
 def _near(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return neighbors.neighbours(e.where("vec_id >= 20"), e.where("vec_id < 20"), 5, "vec_id", "vec_id", vector="embedding", dimensions=64, label="label", rounded=9)
+    return neighbors.neighbours(e, e.where("vec_id % 20 = 0"), 5, "vec_id", "vec_id", vector="embedding", dimensions=64, label="label", rounded=9, leave_out_own=True)
 
 
 @query(_NEAR + "select qid query_id, rn::int as rank, vec_id train_id, d2+0.0 d2, label from r")
@@ -326,46 +360,10 @@ def knn_regress_embeddings(spark, sf_dir):
     return neighbors.regress(_near(spark, sf_dir)).select("query_id", rounded("estimate").alias("estimate"))
 
 
-@query("""with p as (select p_partkey id, p_size::double a, p_retailprice/1000 b from part),
-d as (select q.id query_id, t.id train_id, round((t.a-q.a)*(t.a-q.a)+(t.b-q.b)*(t.b-q.b),9) d2 from p t, p q where q.id <= 30 and t.id > 30)
-select query_id, row_number() over (partition by query_id order by d2, train_id)::int as rank, train_id, d2+0.0 d2 from d qualify rank <= 3""")
-def knn_2d_parts(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 1000).alias("b"))
-    near = neighbors.neighbours(part.where("id > 30"), part.where("id <= 30"), 3, "id", "id", x=["a", "b"], rounded=9)
-    return near.withColumn("d2", F.col("d2") + F.lit(0.0))
-
-
-# The same over the whole tables: every id divisible by 20 is a query, all rows but its own are training rows.
-
-_NEAR_ALL = """with e as (select vec_id, label, embedding::double[] v from embeddings),
-d as (select q.vec_id qid, t.vec_id, t.label, round(list_sum(list_transform(range(1,65), lambda i: (t.v[i]-q.v[i])*(t.v[i]-q.v[i]))),9) d2 from e t, e q where q.vec_id % 20 = 0 and t.vec_id <> q.vec_id),
-r as (select *, row_number() over (partition by qid order by d2, vec_id) rn from d qualify rn <= 5) """
-
-
-def _near_all(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return neighbors.neighbours(e, e.where("vec_id % 20 = 0"), 5, "vec_id", "vec_id", vector="embedding", dimensions=64, label="label", rounded=9, leave_out_own=True)
-
-
-@query(_NEAR_ALL + "select qid query_id, rn::int as rank, vec_id train_id, d2+0.0 d2, label from r")
-def knn_neighbours_embeddings_all(spark, sf_dir):
-    return _near_all(spark, sf_dir).withColumn("d2", F.col("d2") + F.lit(0.0))
-
-
-@query(_NEAR_ALL + "select qid query_id, label from (select qid, label, row_number() over (partition by qid order by count(*) desc, label) w from r group by qid, label) where w = 1")
-def knn_classify_embeddings_all(spark, sf_dir):
-    return neighbors.classify(_near_all(spark, sf_dir))
-
-
-@query(_NEAR_ALL + "select qid query_id, round(avg(label),6)+0.0 estimate from r group by qid")
-def knn_regress_embeddings_all(spark, sf_dir):
-    return neighbors.regress(_near_all(spark, sf_dir)).select("query_id", rounded("estimate").alias("estimate"))
-
-
 @query("""with p as (select p_partkey id, p_size::double a, p_retailprice/1000 b from part),
 d as (select q.id query_id, t.id train_id, round((t.a-q.a)*(t.a-q.a)+(t.b-q.b)*(t.b-q.b),9) d2 from p t, p q where q.id % 20 = 0 and t.id <> q.id)
 select query_id, row_number() over (partition by query_id order by d2, train_id)::int as rank, train_id, d2+0.0 d2 from d qualify rank <= 3""")
-def knn_2d_parts_all(spark, sf_dir):
+def knn_2d_parts(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 1000).alias("b"))
     near = neighbors.neighbours(part, part.where("id % 20 = 0"), 3, "id", "id", x=["a", "b"], rounded=9, leave_out_own=True)
     return near.withColumn("d2", F.col("d2") + F.lit(0.0))

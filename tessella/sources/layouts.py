@@ -1,19 +1,22 @@
-"""Positional layouts of delimited text, read with an explicit schema that fails on bad rows."""
+"""Positional layouts of delimited text, read into typed columns; bad rows stop the job."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Names by position: any of ``idx``, ``y`` or ``label``, and features ``f1`` to ``fd``."""
+    """Names by position: any of ``idx``, ``y`` or ``label``, and features ``f1`` to ``fd``. An index is text; ``trailing`` allows further fields, which are not read."""
 
     fields: tuple[str, ...]
     text_label: bool = False
+    trailing: bool = False
 
     @property
     def features(self) -> list[str]:
@@ -22,9 +25,7 @@ class Layout:
     @property
     def schema(self) -> T.StructType:
         def kind(name: str) -> T.DataType:
-            if name == "idx":
-                return T.LongType()
-            return T.StringType() if name in ("y", "label") and self.text_label else T.DoubleType()
+            return T.StringType() if name == "idx" or name in ("y", "label") and self.text_label else T.DoubleType()
 
         return T.StructType([T.StructField(f, kind(f), False) for f in self.fields])
 
@@ -57,9 +58,27 @@ def mixture_layout(d: int) -> Layout:
     return Layout(("idx", *_features(d)))
 
 
+def statistics_layout(d: int) -> Layout:
+    return Layout(("idx", *_features(d)), trailing=True)
+
+
 def read_delimited(spark: SparkSession, path, layout: Layout, sep: str = ",") -> DataFrame:
-    """Typed columns; a field that is no number, or a missing one, stops the job."""
-    return spark.read.schema(layout.schema).option("mode", "FAILFAST").option("sep", sep).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    """Typed columns of lines without quoting; blank lines are skipped.
+
+    A line with a field too few, or too many where the layout has no ``trailing`` ones, an empty field, and a field that is
+    no number where one is wanted stop the job with the line in the message.
+    """
+    parts, n = F.col("parts"), len(layout.fields)
+
+    def field(i: int, f: T.StructField) -> Column:
+        text = F.trim(parts[i])
+        found = F.nullif(text, F.lit("")) if isinstance(f.dataType, T.StringType) else text.try_cast("double")
+        return F.coalesce(found, F.raise_error(F.concat(F.lit(f"field {f.name} is empty or no number: "), F.col("value"))).cast(f.dataType)).alias(f.name)
+
+    enough = F.size(parts) >= n if layout.trailing else F.size(parts) == n
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("parts", F.split("value", re.escape(sep)))
+    checked = lines.withColumn("parts", F.when(enough, parts).otherwise(F.raise_error(F.concat(F.lit(f"expected {n} fields: "), F.col("value")))))
+    return checked.select(*[field(i, f) for i, f in enumerate(layout.schema.fields)])
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:

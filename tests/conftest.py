@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")])
@@ -16,6 +17,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="tessella-tests-"))
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )

@@ -55,11 +55,19 @@ def test_gda_and_mixtures(spark, tmp_path):
     main(["gda", write(tmp_path, "g", "".join(f"{i},{'ab'[i // 40]},{p[0]},{p[1]}\n" for i, p in enumerate(points))), out, "--dimensions", "2", "--targets", '["a", "b"]'], spark)
     got = load_params(spark, out)
     assert got["class counts"] == [40, 40] and np.allclose(got["covariates"][0], 40 * np.cov(points[:40].T, bias=True))
+    main(["gda-posterior", str(tmp_path / "g"), str(tmp_path / "post"), "--dimensions", "2", "--parameters", out, "--targets", '["a", "b"]'], spark)
+    best = {}
+    for line in lines(spark, str(tmp_path / "post")):
+        i, target, share = line.split(",")
+        best[int(i)] = max(best.get(int(i), (0.0, "")), (float(share), target))
+    assert [best[i][1] for i in range(80)] == ["a"] * 40 + ["b"] * 40
     rows = write(tmp_path, "m", "".join(f"{i},{p[0]},{p[1]}\n" for i, p in enumerate(points)))
     out = str(tmp_path / "gmm")
     main(["gmm", rows, out, "--dimensions", "2", "--clusters", "2", "--sample-size", "60", "--kmeans-reruns", "2"], spark)
     first, second = load_params(spark, out + "_0"), load_params(spark, out + "_1")
     assert np.allclose(sorted(m[0] for m in second["mu"]), sorted([points[40:, 0].mean(), points[:40, 0].mean()]), atol=1e-3)
+    main(["gmm-init", rows, str(tmp_path / "init"), "--dimensions", "2", "--clusters", "2", "--sample-size", "60", "--kmeans-reruns", "2"], spark)
+    assert load_params(spark, str(tmp_path / "init")) == first
     main(["gmm-step", rows, str(tmp_path / "step"), "--dimensions", "2", "--parameters", json.dumps(first)], spark)
     assert np.allclose(load_params(spark, str(tmp_path / "step"))["mu"], second["mu"])
 

@@ -20,8 +20,30 @@ def test_a_query_is_not_its_own_neighbour(spark, monkeypatch, broadcast):
     assert {(r["query_id"], r["rank"], r["train_id"]) for r in near.collect()} == want
 
 
-@pytest.mark.parametrize("name, source, key, k", [("knn_neighbours_embeddings_all", "embeddings", "vec_id", 5), ("knn_classify_embeddings_all", "embeddings", "vec_id", 1), ("knn_regress_embeddings_all", "embeddings", "vec_id", 1), ("knn_2d_parts_all", "part", "p_partkey", 3)])
+@pytest.mark.parametrize("name, source, key, k", [("knn_neighbours_embeddings", "embeddings", "vec_id", 5), ("knn_classify_embeddings", "embeddings", "vec_id", 1), ("knn_regress_embeddings", "embeddings", "vec_id", 1), ("knn_2d_parts", "part", "p_partkey", 3)])
 def test_queries_are_all_ids_divisible_by_20(spark, sf, name, source, key, k):
     ids = sorted(r[key] for r in spark.read.parquet(f"{sf}/{source}.parquet").where(f"{key} % 20 = 0").collect() for _ in range(k))
     assert len(ids) > k
     assert sorted(r["query_id"] for r in catalog.QUERIES[name](spark, sf).collect()) == ids
+
+
+def test_blocks_of_equal_points_and_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "TILE", 7)
+    rng = np.random.default_rng(1)
+    points = rng.integers(0, 3, (90, 2)).astype(float) * 1e3
+    df = spark.createDataFrame([(f"{i:03}", [float(v) for v in p], i) for i, p in enumerate(points)], "id string, v array<double>, y int").repartition(4)
+    near = neighbors.neighbours(df, df.where("y < 9"), 6, "id", "id", vector="v", dimensions=2, label="y")
+    want = {(f"{q:03}", r + 1, f"{i:03}", i) for q in range(9) for r, i in enumerate(sorted(range(90), key=lambda i: (((points[i] - points[q]) ** 2).sum(), i))[:6])}
+    assert {(r["query_id"], r["rank"], r["train_id"], r["label"]) for r in near.collect()} == want
+    assert neighbors.neighbours(df.limit(0), df, 2, "id", "id", vector="v", dimensions=2).count() == 0
+    assert neighbors.neighbours(df, df.limit(0), 2, "id", "id", vector="v", dimensions=2).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_a_null_feature_stops_the_job(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(neighbors, "BROADCAST_NUMBERS", 0)
+    df = spark.createDataFrame([(1, 1.0, [1.0]), (2, None, [None])], "id long, f1 double, v array<double>")
+    for how in ({"x": ["f1"]}, {"vector": "v", "dimensions": 1}):
+        with pytest.raises(Exception, match="is null"):
+            neighbors.neighbours(df, df.where("id = 1"), 2, "id", "id", **how).collect()
