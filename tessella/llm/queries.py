@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, licenses, neardup, quality, recount, threads, topk, toxicity
-from .common import remainder, table
+from .common import remainder, stash, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -69,9 +69,9 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of every document before and after a fixed script of three edits."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", recount.sample_edits(F.col("text")).alias("edits"))
-    found = recount.recount(docs, "edits", TOKENIZER)
+    """Counts of every document before and after a fixed script of three edits, from kept trees."""
+    trees = stash(recount.index(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER), "trees")
+    found = recount.recount(trees.withColumn("edits", recount.sample_edits(F.col("text"))), "edits", TOKENIZER, tree="tree")
     return found.select("doc_id", F.col("recount.before").alias("n_tokens"), F.col("recount.after").alias("n_tokens_after"), F.col("recount.encoded_chars").alias("encoded_chars"), F.sha2(F.col("recount.edited").cast("binary"), 256).alias("edited_sha256"))
 
 

@@ -7,6 +7,10 @@ token) and ends at the first place behind the edit where an old pre-token begins
 looks ahead only, so everything after that place is as before. Only new pre-tokens are encoded, and only
 sums on the paths above touched leaves are renewed.
 
+Trees are kept: ``index`` adds each document's tree as the characters and tokens of its pre-tokens, and ``recount`` takes it up
+without cutting or encoding the text again; pre-tokens of a leaf are cut out only when an edit touches it. Its result has
+the new tree for the next edits. A tree that does not belong to its text stops the job.
+
 Null texts count as empty. An edit is (start, end, replacement) in characters of the text as it is by then; bounds
 outside of the text are moved to its ends, a null replacement is empty, a null edit does nothing.
 """
@@ -14,6 +18,7 @@ outside of the text are moved to its ends, a null replacement is empty, a null e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import BytePairCodec, Memo, codec
-from .common import map_slices
+from .bpe import MEMO_PIECE, BytePairCodec, Memo, codec
+from .common import append_struct, map_slices
 
 LEAF = 64
 
@@ -33,7 +38,7 @@ class PieceCounter:
     def __init__(self, c: BytePairCodec):
         self.codec = c
         self.context = max(2, max(map(len, c.specials), default=0))
-        self.memo = Memo(lambda piece: 1 if piece in c.specials else len(c.encode_word(piece.encode())), 300_000)
+        self.memo = Memo(lambda piece: 1 if piece in c.specials else len(c.encode_word(piece.encode())), 300_000, MEMO_PIECE)
 
     def cut(self, text: str) -> list[str]:
         c = self.codec
@@ -49,22 +54,58 @@ class PieceCounter:
         return list(map(self.memo.__getitem__, pieces))
 
 
+class Span(NamedTuple):
+    """A leaf that has not been touched: its text and the characters of its pre-tokens."""
+
+    text: str
+    sizes: np.ndarray
+
+
 class CountTree:
     def __init__(self, text: str | None, counter: PieceCounter):
         self.counter, self.encoded_chars = counter, 0
         pieces = counter.cut(text or "")
-        self._build([(pieces[i : i + LEAF], None) for i in range(0, len(pieces), LEAF)])
-
-    def _build(self, leaves: list[tuple[list[str], list[int] | None]]) -> None:
+        self._build([(pieces[i : i + LEAF], counter.counts(pieces[i : i + LEAF])) for i in range(0, len(pieces), LEAF)])
+
+    @classmethod
+    def kept(cls, text: str | None, sizes: np.ndarray, tokens: np.ndarray, counter: PieceCounter) -> CountTree:
+        """The tree whose pre-tokens have so many characters and tokens."""
+        text = text or ""
+        ends = np.cumsum(sizes)
+        if len(sizes) != len(tokens) or (int(ends[-1]) if len(ends) else 0) != len(text):
+            raise ValueError("the tree belongs to another text")
+        tree = cls.__new__(cls)
+        tree.counter, tree.encoded_chars = counter, 0
+        bounds = [0, *ends[LEAF - 1 :: LEAF].tolist()]
+        if len(sizes) % LEAF:
+            bounds.append(len(text))
+        tree._build([(Span(text[a:b], sizes[i * LEAF : (i + 1) * LEAF]), tokens[i * LEAF : (i + 1) * LEAF]) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))])
+        return tree
+
+    def _build(self, leaves: list[tuple[list[str] | Span, list[int] | np.ndarray]]) -> None:
         self.pieces = [p for p, _ in leaves] or [[]]
-        self.counts = [self.counter.counts(p) if n is None else n for p, n in leaves] or [[]]
+        self.counts = [n for _, n in leaves] or [[]]
         self.size = 1 << max(0, len(self.pieces) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for i, (p, n) in enumerate(zip(self.pieces, self.counts, strict=True)):
-            self.chars[self.size + i], self.tokens[self.size + i] = len("".join(p)), sum(n)
+            self.chars[self.size + i], self.tokens[self.size + i] = len(p.text) if isinstance(p, Span) else len("".join(p)), int(sum(n))
         for i in range(self.size - 1, 0, -1):
             self._pull(i)
 
+    def row(self, leaf: int) -> list[str]:
+        """The pre-tokens of a leaf."""
+        p = self.pieces[leaf]
+        if isinstance(p, Span):
+            ends = np.cumsum(p.sizes).tolist()
+            self.pieces[leaf] = p = [p.text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            self.counts[leaf] = self.counts[leaf].tolist()
+        return p
+
+    def state(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of all pre-tokens."""
+        sizes = [p.sizes if isinstance(p, Span) else np.fromiter(map(len, p), np.int32, len(p)) for p in self.pieces]
+        return np.concatenate(sizes).astype(np.int32), np.concatenate([np.asarray(n, np.int32) for n in self.counts])
+
     def _pull(self, i: int) -> None:
         self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
 
@@ -78,7 +119,7 @@ class CountTree:
 
     @property
     def text(self) -> str:
-        return "".join(x for p in self.pieces for x in p)
+        return "".join(p.text if isinstance(p, Span) else "".join(p) for p in self.pieces)
 
     def find(self, at: int) -> tuple[int, int, int]:
         """Leaf, piece within it and start of the piece that holds character ``at`` (the last piece for the end)."""
@@ -89,7 +130,7 @@ class CountTree:
                 start += self.chars[i]
                 i += 1
         leaf = i - self.size
-        row = self.pieces[leaf]
+        row = self.row(leaf)
         for k, p in enumerate(row):
             if at < start + len(p) or k == len(row) - 1:
                 return leaf, k, start
@@ -115,7 +156,7 @@ class CountTree:
 
     def _from(self, leaf: int, k: int) -> Iterator[tuple[int, int, str]]:
         for i in range(leaf, len(self.pieces)):
-            row = self.pieces[i]
+            row = self.row(i)
             for j in range(k if i == leaf else 0, len(row)):
                 yield i, j, row[j]
 
@@ -158,15 +199,15 @@ class CountTree:
             want *= 2
         self.encoded_chars += sum(map(len, new))
         last = stop[0] if stop else len(self.pieces) - 1
-        tail = stop[1] if stop else len(self.pieces[last])
+        tail = stop[1] if stop else len(self.row(last))
         fresh_counts = self.counter.counts(new)
-        rows = self.pieces[first][:skip] + new + self.pieces[last][tail:]
+        rows = self.row(first)[:skip] + new + self.row(last)[tail:]
         counts = self.counts[first][:skip] + fresh_counts + self.counts[last][tail:]
         for i in range(first, last + 1):
             self.pieces[i], self.counts[i] = (rows, counts) if i == first else ([], [])
         if len(rows) > 8 * LEAF:
             # A large insertion: spread the leaf; counts are kept.
-            leaves = [(p, n) for p, n in zip(self.pieces, self.counts, strict=True) if p]
+            leaves = [(self.row(i), self.counts[i]) for i in range(len(self.pieces))]
             self._build([(p[k : k + LEAF], n[k : k + LEAF]) for p, n in leaves for k in range(0, len(p), LEAF)])
             return
         touched = set()
@@ -181,27 +222,62 @@ class CountTree:
 
 
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("replacement", T.StringType())]))
-FIELDS = [T.StructField("before", T.LongType()), T.StructField("after", T.LongType()), T.StructField("encoded_chars", T.LongType()), T.StructField("edited", T.StringType())]
+TREE = [T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
+FIELDS = [T.StructField("before", T.LongType()), T.StructField("after", T.LongType()), T.StructField("encoded_chars", T.LongType()), T.StructField("edited", T.StringType()), T.StructField("tree", T.StructType(TREE))]
+
+
+def _trees(states: list[tuple[np.ndarray, np.ndarray]]) -> pa.StructArray:
+    ends = np.cumsum([0, *(len(sizes) for sizes, _ in states)]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[i] for x in states] or [np.zeros(0, np.int32)]).astype(np.int32))) for i in (0, 1)]
+    return pa.StructArray.from_arrays(lists, names=["sizes", "tokens"])
+
 
+def index(docs: DataFrame, tokenizer_path: str, text_col: str = "text", into: str = "tree") -> DataFrame:
+    """Adds the struct ``into``: the characters and tokens of every pre-token. Null and empty texts have none."""
 
-def recount(docs: DataFrame, edits: str, tokenizer_path: str, text_col: str = "text", into: str = "recount") -> DataFrame:
-    """Adds the struct ``into``: tokens before and after the edits of the array column ``edits``, characters that were encoded for them, and the edited text."""
+    def make():
+        counter = PieceCounter(codec(tokenizer_path))
+
+        def handle(texts):
+            pieces = [counter.cut(t or "") for t in texts]
+            trees = _trees([(np.fromiter(map(len, p), np.int32, len(p)), np.array(counter.counts(p), np.int32)) for p in pieces])
+            return [trees.field(0), trees.field(1)]
+
+        return handle
+
+    return append_struct(docs, text_col, TREE, into, make)
+
+
+def recount(docs: DataFrame, edits: str, tokenizer_path: str, text_col: str = "text", into: str = "recount", tree: str | None = None) -> DataFrame:
+    """Adds the struct ``into``: tokens before and after the edits of the array column ``edits``, characters that were encoded for them, the edited text and its tree.
+
+    ``tree`` names a column that ``index`` or an earlier ``recount`` has made; without one, or where it is null, the text is cut
+    and counted first. A row for every row; other columns stay as they are, and ``into`` must not be one of them (``ValueError``).
+    """
     if into.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {into} exists already; use fresh()")
 
     def make():
         counter = PieceCounter(codec(tokenizer_path))
 
+        def trees(batch: pa.RecordBatch) -> Iterator[CountTree]:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            known = [None] * len(texts)
+            if tree is not None:
+                column = batch.column(batch.schema.get_field_index(tree))
+                known = [None if not c.is_valid else tuple(np.asarray(c[name].values.to_numpy(zero_copy_only=False)) for name in ("sizes", "tokens")) for c in column]
+            for text, state in zip(texts, known, strict=True):
+                yield CountTree(text, counter) if state is None else CountTree.kept(text, *state, counter)
+
         def handle(batch: pa.RecordBatch):
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for text, todo in zip(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), batch.column(batch.schema.get_field_index(edits)).to_pylist(), strict=True):
-                tree = CountTree(text, counter)
-                out[0].append(tree.total)
+            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            for now, todo in zip(trees(batch), batch.column(batch.schema.get_field_index(edits)).to_pylist(), strict=True):
+                out[0].append(now.total)
                 for e in todo or ():
                     if e is not None:
-                        tree.edit(e["start"] or 0, e["start"] or 0 if e["end"] is None else e["end"], e["replacement"] or "")
-                out[1].append(tree.total), out[2].append(tree.encoded_chars), out[3].append(tree.text)
-            packed = pa.StructArray.from_arrays([pa.array(np.array(x, np.int64)) for x in out[:3]] + [pa.array(out[3], pa.string())], names=[f.name for f in FIELDS])
+                        now.edit(e["start"] or 0, e["start"] or 0 if e["end"] is None else e["end"], e["replacement"] or "")
+                out[1].append(now.total), out[2].append(now.encoded_chars), out[3].append(now.text), out[4].append(now.state())
+            packed = pa.StructArray.from_arrays([*[pa.array(np.array(x, np.int64)) for x in out[:3]], pa.array(out[3], pa.string()), _trees(out[4])], names=[f.name for f in FIELDS])
             yield pa.RecordBatch.from_arrays([*batch.columns, packed], names=[*batch.schema.names, into])
 
         return handle

@@ -4,6 +4,8 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessella.llm import recount
 from tessella.llm.bpe import codec
@@ -30,6 +32,40 @@ def test_edits_equal_counting_anew(text, edits):
         assert tree.total == codec(PATH).count(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(TEXT, st.lists(st.tuples(st.integers(-2, 400), st.integers(-2, 400), TEXT), max_size=4), st.integers(1, 30))
+def test_kept_trees_equal_counting_anew(text, edits, times):
+    text *= times
+    tree = recount.CountTree(text, COUNTER)
+    for start, end, new in edits:
+        tree = recount.CountTree.kept(text, *tree.state(), COUNTER)
+        assert tree.total == codec(PATH).count(text) and tree.encoded_chars == 0
+        tree.edit(start, end, new)
+        text = applied(text, start, end, new)
+        assert tree.text == text and tree.total == codec(PATH).count(text)
+    sizes, tokens = tree.state()
+    assert sizes.sum() == len(text) and tokens.sum() == tree.total
+
+
+def test_a_kept_tree_cuts_only_touched_leaves():
+    text = " ".join(f"word{i}" for i in range(50_000))
+    state = recount.CountTree(text, COUNTER).state()
+    tree = recount.CountTree.kept(text, *state, COUNTER)
+    tree.edit(100_000, 100_004, "new")
+    assert sum(not isinstance(p, recount.Span) for p in tree.pieces) <= 3 and tree.encoded_chars < 60
+    with pytest.raises(ValueError):
+        recount.CountTree.kept(text + "x", *state, COUNTER)
+
+
+def test_trees_of_the_operator_serve_the_next_edits(spark):
+    df = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (3, "the river runs " * 90, "t")], "doc_id long, text string, sizes string").withColumn("edits", recount.sample_edits(F.col("text")))
+    first = recount.recount(recount.index(df, PATH), "edits", PATH, tree="tree")
+    again = first.select("doc_id", F.col("recount.edited").alias("text"), F.col("recount.tree").alias("tree")).withColumn("edits", recount.sample_edits(F.col("text")))
+    for r in recount.recount(again, "edits", PATH, tree="tree").collect():
+        assert r.recount.before == codec(PATH).count(r.text) and r.recount.after == codec(PATH).count(r.recount.edited)
+    assert sorted((r.doc_id, r.recount.after) for r in first.collect()) == sorted((r.doc_id, r.recount.after) for r in recount.recount(df, "edits", PATH).collect())
+
+
 def test_long_text_encodes_little_and_sums_hold():
     rng = random.Random(1)
     text = " ".join(rng.choice(["the", "river", "don't", "12", "!!", "\n"]) for _ in range(20_000))
@@ -68,7 +104,7 @@ def test_operator_on_odd_rows(spark):
 def test_query_equals_counting_the_edited_texts(spark, sf):
     from tessella.llm.queries import op8_recount
 
-    c = codec(PATH)
+    c, ref = codec(PATH), Tokenizer.from_file(PATH)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = op8_recount(spark, sf).collect()
     assert len(rows) == len(texts)
@@ -78,4 +114,4 @@ def test_query_equals_counting_the_edited_texts(spark, sf):
         t = applied(t, n // 3, n // 3, " (revised)")
         t = applied(t, n // 2, n // 2 + 20, "")
         t = applied(t, 0, 5, "Note: ")
-        assert (r.n_tokens, r.n_tokens_after) == (c.count(texts[r.doc_id]), c.count(t))
+        assert (r.n_tokens, r.n_tokens_after) == (c.count(texts[r.doc_id]), c.count(t)) == tuple(len(ref.encode(x, add_special_tokens=False).ids) for x in (texts[r.doc_id], t))
