@@ -88,6 +88,16 @@ class QualityModel:
 
 def train(samples: Iterable[tuple[str, int]], share: float, epochs: int = 8, rate: float = 2.0, seed: int = 5) -> QualityModel:
     """``share`` is the share of label 1 among all labelled rows; the sample may hold another."""
+    prior = math.log(min(max(share, 0.01), 0.99) / (1 - min(max(share, 0.01), 0.99)))
+    learned = network(samples, epochs, rate, seed)
+    if learned is None:
+        return QualityModel(np.zeros(BUCKETS), prior)
+    table, layer, bias = learned
+    return QualityModel(table @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0] + prior))
+
+
+def network(samples: Iterable[tuple[str, int]], epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Vectors of all buckets, softmax layer and bias; None without samples of both labels."""
     memo = Memo(lambda t: np.fromiter(features(t), np.int32), 100_000, MEMO_TOKEN)
     docs, labels = [], []
     for text, label in samples:
@@ -99,9 +109,8 @@ def train(samples: Iterable[tuple[str, int]], share: float, epochs: int = 8, rat
             labels.append(int(label))
     del memo
     y = np.array(labels)
-    prior = math.log(min(max(share, 0.01), 0.99) / (1 - min(max(share, 0.01), 0.99)))
     if len(set(labels)) < 2:
-        return QualityModel(np.zeros(BUCKETS), prior)
+        return None
     rng = np.random.default_rng(seed)
     table, layer, bias = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)
     balance = len(y) / (2 * np.bincount(y, minlength=2))
@@ -119,7 +128,7 @@ def train(samples: Iterable[tuple[str, int]], share: float, epochs: int = 8, rat
             layer -= np.outer(hidden, p) * 0.1
             bias -= p * 0.1
             step += 1
-    return QualityModel(table @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0] + prior))
+    return table, layer, bias
 
 
 def share_of_ones(labelled: DataFrame, label_col: str) -> float:

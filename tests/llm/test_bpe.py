@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessella.llm.bpe import Memo, codec, round_trip
+from tessella.llm.queries import op2_bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 C, REF = codec(PATH), Tokenizer.from_file(PATH)
@@ -52,3 +54,18 @@ def test_operator_on_nulls_repeats_and_clashing_columns(spark):
     assert round_trip(docs.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         round_trip(docs, PATH, into="IDS")
+
+
+def test_query_equals_the_library(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op2_bpe(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = REF.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(REF.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_memos_do_not_keep_long_pieces():
+    C.encode("q" * 70 + " " + "z" * 3000)
+    assert all(len(k) <= 64 for memo in (C.words, C.first, C.later) for k in memo)

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -18,10 +20,46 @@ def test_quality_learns_symbols_and_repeats():
 
 
 def test_quality_score_equals_a_full_network_pass():
-    text = "the the boat"
-    model = quality.train([("the boat", 1), ("x*** y***", 0)], 0.5, epochs=2)
-    f = [i for t in ["the", quality.REPEAT, "boat"] for i in quality.features(t)]
-    assert model.scorer()(text) == pytest.approx(1 / (1 + np.exp(-(model.weights[f].mean() + model.bias))))
+    samples = [("the boat the boat", 1), ("x*** y***", 0), ("a river", 1)]
+    table, layer, bias = quality.network(samples, 2, 2.0, 5)
+    one = quality.train(samples, 0.25, epochs=2).scorer()
+    for text, tokens in (("the the boat", ["the", quality.REPEAT, "boat"]), ("y***", ["y***"]), ("w" * 9000, ["w" * 9000])):
+        hidden = np.mean([table[f] for t in tokens for f in quality.features(t)], axis=0)
+        z = hidden @ layer + bias + [0, np.log(0.25 / 0.75)]
+        assert one(text) == pytest.approx(np.exp(z[1]) / np.exp(z).sum())
+
+
+def test_rare_words_of_one_label_count():
+    rng = np.random.default_rng(4)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}x" for i in range(20) for j in range(20)]
+    text = lambda *more: " ".join([*rng.choice(words, 40), *more])
+    clean, toxic = [text() for _ in range(400)], [text("brutish") for _ in range(390)] + [text("knavery") for _ in range(12)]
+    one = toxicity.train([(t, 0) for t in clean] + [(t, 1) for t in toxic], 0.2).scorer()
+    assert one(text("knavery")) > one(text()) + 0.1
+
+
+def test_counts_in_chunks_equal_counts_at_once(monkeypatch):
+    samples = [("a river boat", 0), ("the boats", 1), ("river river", 1), (None, 0), ("t" * 300, 1)]
+    memo = lambda: toxicity.Memo(lambda w: np.fromiter(toxicity.grams(w), np.uint32))
+    keys, counts = toxicity.frequencies(samples, memo())
+    monkeypatch.setattr(toxicity, "CHUNK", 3)
+    again = toxicity.frequencies(samples, memo())
+    assert (keys == again[0]).all() and (counts == again[1]).all()
+    for label in (0, 1):
+        sets = [set().union(*map(toxicity.grams, toxicity.words_of(t))) for t, y in samples if y == label]
+        assert counts[label].tolist() == [sum(int(k) in s for s in sets) for k in keys]
+
+
+@pytest.mark.parametrize(("query", "kind", "label"), [(op9_quality, quality, "quality"), (op10_toxicity, toxicity, "toxic")])
+def test_queries_score_every_row_by_the_model_of_the_training_rows(spark, sf, query, kind, label):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    one = kind.fit(labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0").select("doc_id", label), docs.select("doc_id", "text")).scorer()
+    rows = {r.doc_id: r for r in query(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert rows.keys() == texts.keys()
+    for d, t in texts.items():
+        assert rows[d].score == pytest.approx(one(t)) and rows[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0)
+        assert rows[d].predicted == int(rows[d].score >= (0.3 if kind is quality else 0.5))
 
 
 def test_toxicity_finds_a_stem_in_a_long_text():
@@ -34,7 +72,7 @@ def test_toxicity_finds_a_stem_in_a_long_text():
     assert max(map(one, clean)) < 0.5 < min(map(one, toxic))
     assert one(" ".join(clean) * 20 + " VILEST, " + " ".join(clean)) > 0.5
     assert one("t" * 200_000) < 0.5
-    by_hand = model.bias + sum(v for k, v in model.weights.items() if k in set().union(*map(toxicity.grams, toxic[0].split())))
+    by_hand = model.bias + sum(v for k, v in model.weights.items() if k in set().union(*map(toxicity.grams, toxicity.words_of(toxic[0]))))
     assert one(toxic[0]) == pytest.approx(1 / (1 + np.exp(-by_hand)))
 
 

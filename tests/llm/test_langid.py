@@ -121,3 +121,18 @@ def test_held_out_accuracy(spark, sf):
     held = [r for r in rows if r["held_out"]]
     assert len(rows) == len(lang) and held
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.93
+
+
+def test_query_equals_a_loop_per_byte(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = langid.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 4 != 2"))
+    rows = {r.doc_id: r for r in op1_language(spark, sf).collect()}
+    for r in docs.orderBy("n_chars").limit(12).collect():
+        data = langid.as_bytes(r.text)
+        logits = by_hand(m, data, 0) @ m.outer[0] + by_hand(m, data, 1) @ m.outer[1] + m.bias
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        pooled = (p / p.sum(1, keepdims=True)).mean(0)
+        if any(map(str.isalpha, r.text)):
+            assert rows[r.doc_id].lang_pred == m.languages[pooled.argmax()] and rows[r.doc_id].score == pytest.approx(pooled.max(), abs=1e-4)
+        else:
+            assert (rows[r.doc_id].lang_pred, rows[r.doc_id].score) == ("und", 0.0)

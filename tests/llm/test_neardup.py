@@ -5,6 +5,7 @@ import pytest
 
 from tessella.llm import graph, neardup
 from tessella.llm.common import WORD
+from tessella.llm.queries import op7_neardup
 
 
 def bag(text):
@@ -150,3 +151,27 @@ def test_components_of_chains_hubs_and_loops(spark):
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 31)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_query_equals_all_pairs(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted((r.doc_id, r.class_id) for r in op7_neardup(spark, sf).collect()) == sorted(brute(rows))
+
+
+def test_recall_of_planted_near_copies(spark):
+    """Copies with so many changed words that similarities are from just 0.8 on up."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    rows, pairs = [], []
+    for i in range(250):
+        base = list(rng.choice(vocabulary, int(rng.integers(60, 300))))
+        copy = list(base)
+        for at in rng.integers(0, len(base), max(1, int(len(base) * rng.uniform(0, 0.022)))):
+            copy[at] = "changed"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        if 0.8 <= weighted(bag(rows[-2][1]), bag(rows[-1][1])):
+            pairs.append(2 * i)
+    found = {r.id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 150
+    assert np.mean([found[i] == found[i + 1] for i in pairs]) >= 0.98
+    assert all(found[2 * i] != found[2 * i + 1] for i in range(250) if 2 * i not in pairs)
