@@ -30,7 +30,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 #: Entries of one generation of a worker's memo of encoded pieces.
-MEMO = 400_000
+MEMO = 120_000
 #: Pieces longer than this are not kept, so a memo is bounded in bytes too.
 MEMO_PIECE = 64
 
@@ -95,7 +95,7 @@ class BytePairCodec:
         for a, t in enumerate(texts):
             self.matcher.add_word(t.decode("latin-1"), a)
         self.matcher.make_automaton()
-        self.fits = Memo(self._fits, 1_000_000)
+        self.fits = Memo(self._fits, 150_000)
         # Offset table for decoding: bytes of id i are blob[offsets[i]:offsets[i + 1]].
         most = max([*vocab.values(), *self.specials.values()]) + 1
         pieces = [b""] * most
@@ -109,7 +109,7 @@ class BytePairCodec:
         self.pre_token = regex.compile(PRE_TOKEN)
         self.risky = re.compile(r" (?:\s|\Z)")
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self.words = Memo(self._word, 100_000, MEMO_PIECE)
+        self.words = Memo(self._word, 50_000, MEMO_PIECE)
         self.first = Memo(self._piece, 10_000, MEMO_PIECE)
         self.later = Memo(lambda piece: self._piece(" " + piece), MEMO, MEMO_PIECE)
 

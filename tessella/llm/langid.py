@@ -34,9 +34,9 @@ HIDDEN = 8
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_MAX_CHARS = 50_000
 #: Bytes of a chunk, and bytes around it over which states are run in.
-CHUNK, LEAD = 4096, 256
+CHUNK, LEAD = 2048, 256
 #: Bytes that are labelled at a time; bounds the memory of a worker.
-GROUP = 1 << 20
+GROUP = 1 << 19
 #: Texts of a slice.
 TEXTS = 1024
 UNKNOWN = "und"
@@ -71,11 +71,14 @@ class ByteTagger:
         steps = np.arange(sizes[0])
         counts = np.searchsorted(-sizes, -steps, "left")  # pieces that are longer than the step
         offsets = np.cumsum(counts) - counts
-        place = np.repeat(steps, counts)
-        piece = np.arange(counts.sum()) - offsets[place]
-        whole, begins = np.concatenate(data).astype(np.intp), np.cumsum(sizes) - sizes
-        back = sizes[piece] - 1 - place
-        codes = np.stack([whole[begins[piece] + place], whole[begins[piece] + back] + 256])
+        place = np.repeat(steps.astype(np.int32), counts)
+        piece = (np.arange(counts.sum()) - offsets[place]).astype(np.int32)
+        whole, begins = np.concatenate(data), np.cumsum(sizes) - sizes
+        back = (sizes[piece] - 1).astype(np.int32) - place
+        codes = np.empty((2, len(piece)), np.int16)
+        codes[0] = whole[begins[piece] + place]
+        codes[1] = whole[begins[piece] + back]
+        codes[1] += 256
         table, out = self.table.reshape(-1, 2 * h), np.empty((2, len(piece), h), kind)
         state, first, second = np.zeros((2, len(data), h), kind), np.empty((2, len(data), 2 * h), kind), np.empty((2, len(data), 2 * h), kind)
         for n, at in zip(counts.tolist(), offsets.tolist(), strict=True):

@@ -75,7 +75,7 @@ class QualityModel:
                 n += len(part)
             return complex(total, n)
 
-        memo = Memo(sums, 300_000, MEMO_TOKEN)
+        memo = Memo(sums, 100_000, MEMO_TOKEN)
 
         def score(text: str | None) -> float:
             found = tokens(text) if text else []

@@ -38,7 +38,7 @@ class PieceCounter:
     def __init__(self, c: BytePairCodec):
         self.codec = c
         self.context = max(2, max(map(len, c.specials), default=0))
-        self.memo = Memo(lambda piece: 1 if piece in c.specials else len(c.encode_word(piece.encode())), 300_000, MEMO_PIECE)
+        self.memo = Memo(lambda piece: 1 if piece in c.specials else len(c.encode_word(piece.encode())), 100_000, MEMO_PIECE)
 
     def cut(self, text: str) -> list[str]:
         c = self.codec

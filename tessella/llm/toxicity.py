@@ -90,7 +90,7 @@ class ToxicityModel:
 
     def scorer(self):
         weights = self.weights
-        memo = Memo(lambda w: tuple({g for g in grams(w) if g in weights}), 300_000, MEMO_TOKEN)
+        memo = Memo(lambda w: tuple({g for g in grams(w) if g in weights}), 100_000, MEMO_TOKEN)
 
         def score(text: str | None) -> float:
             present: set[int] = set()
