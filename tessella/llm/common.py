@@ -38,10 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, name: str = "stage") -> DataFrame:
+def stash(df: DataFrame, name: str = "stage", compression: str = "snappy") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tessella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

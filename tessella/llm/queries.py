@@ -70,8 +70,8 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document before and after a fixed script of three edits, from kept trees."""
-    trees = stash(recount.index(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER), "trees")
-    found = recount.recount(trees.withColumn("edits", recount.sample_edits(F.col("text"))), "edits", TOKENIZER, tree="tree")
+    trees = stash(recount.index(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER), "trees", "zstd")
+    found = recount.recount(trees.withColumn("edits", recount.sample_edits(F.col("text"))), "edits", TOKENIZER, tree="tree", keep=["doc_id"], new_tree=False)
     return found.select("doc_id", F.col("recount.before").alias("n_tokens"), F.col("recount.after").alias("n_tokens_after"), F.col("recount.encoded_chars").alias("encoded_chars"), F.sha2(F.col("recount.edited").cast("binary"), 256).alias("edited_sha256"))
 
 

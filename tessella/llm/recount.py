@@ -17,7 +17,7 @@ outside of the text are moved to its ends, a null replacement is empty, a null e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -38,7 +38,7 @@ class PieceCounter:
     def __init__(self, c: BytePairCodec):
         self.codec = c
         self.context = max(2, max(map(len, c.specials), default=0))
-        self.memo = Memo(lambda piece: 1 if piece in c.specials else len(c.encode_word(piece.encode())), 100_000, MEMO_PIECE)
+        self.memo = Memo(lambda piece: 1 if piece in c.specials else len(c.encode_word(piece.encode())), 300_000, MEMO_PIECE)
 
     def cut(self, text: str) -> list[str]:
         c = self.codec
@@ -248,12 +248,15 @@ def index(docs: DataFrame, tokenizer_path: str, text_col: str = "text", into: st
     return append_struct(docs, text_col, TREE, into, make)
 
 
-def recount(docs: DataFrame, edits: str, tokenizer_path: str, text_col: str = "text", into: str = "recount", tree: str | None = None) -> DataFrame:
+def recount(docs: DataFrame, edits: str, tokenizer_path: str, text_col: str = "text", into: str = "recount", tree: str | None = None, keep: Sequence[str] | None = None, new_tree: bool = True) -> DataFrame:
     """Adds the struct ``into``: tokens before and after the edits of the array column ``edits``, characters that were encoded for them, the edited text and its tree.
 
     ``tree`` names a column that ``index`` or an earlier ``recount`` has made; without one, or where it is null, the text is cut
-    and counted first. A row for every row; other columns stay as they are, and ``into`` must not be one of them (``ValueError``).
+    and counted first. A row for every row; other columns stay as they are (with ``keep`` those only), and ``into`` must not be one of them
+    (``ValueError``). ``new_tree`` tells whether the result has the edited text's tree.
     """
+    names = list(docs.columns if keep is None else keep)
+    fields = FIELDS if new_tree else FIELDS[:-1]
     if into.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {into} exists already; use fresh()")
 
@@ -276,13 +279,15 @@ def recount(docs: DataFrame, edits: str, tokenizer_path: str, text_col: str = "t
                 for e in todo or ():
                     if e is not None:
                         now.edit(e["start"] or 0, e["start"] or 0 if e["end"] is None else e["end"], e["replacement"] or "")
-                out[1].append(now.total), out[2].append(now.encoded_chars), out[3].append(now.text), out[4].append(now.state())
-            packed = pa.StructArray.from_arrays([*[pa.array(np.array(x, np.int64)) for x in out[:3]], pa.array(out[3], pa.string()), _trees(out[4])], names=[f.name for f in FIELDS])
-            yield pa.RecordBatch.from_arrays([*batch.columns, packed], names=[*batch.schema.names, into])
+                out[1].append(now.total), out[2].append(now.encoded_chars), out[3].append(now.text)
+                if new_tree:
+                    out[4].append(now.state())
+            packed = pa.StructArray.from_arrays([*[pa.array(np.array(x, np.int64)) for x in out[:3]], pa.array(out[3], pa.string()), *([_trees(out[4])] if new_tree else [])], names=[f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], packed], names=[*names, into])
 
         return handle
 
-    return map_slices(docs, T.StructType([*docs.schema.fields, T.StructField(into, T.StructType(FIELDS))]), make)
+    return map_slices(docs, T.StructType([*[docs.schema[c] for c in names], T.StructField(into, T.StructType(fields))]), make)
 
 
 def sample_edits(text: Column) -> Column:
