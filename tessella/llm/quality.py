@@ -6,7 +6,8 @@ features' vectors; a softmax layer gives the label. Table and layer are learned
 stochastic gradient descent in numpy. A token that repeats the one before it counts as the token
 ``REPEAT``, so that runs of a word are seen whatever the word is.
 
-Scoring needs one number per feature (its vector times the layer), and keeps sums by token.
+Scoring needs one number per feature (its vector times the layer). The n-grams of a whole text are hashed together
+in arrays, without a memo of tokens, so the cost depends on the length of a text and not on how often its tokens recur.
 Null and empty texts have no features and get the layer's bias alone. Without labelled rows of
 both labels the score is the share of label 1 (0.5 if there are none).
 """
@@ -14,10 +15,9 @@ both labels the score is the share of label 1 (0.5 if there are none).
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import batched, islice
+from itertools import islice
 from operator import eq
 from zlib import crc32
 
@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Memo
 from .common import append_struct, sample_texts
 
 BUCKETS = 1 << 17
@@ -37,20 +36,47 @@ REPEAT = "\x00same"
 #: Bound of the training sample: rows of each label, and the longest text that takes part.
 SAMPLE_PER_LABEL = 900
 SAMPLE_MAX_CHARS = 60_000
-#: Tokens longer than this are not kept in a worker's memo.
-MEMO_TOKEN = 64
+#: N-grams are hashed for so many places of a text at a time, by an odd multiplier; buckets are the upper bits.
+PIECE = 1 << 16
+MULTIPLIER = np.uint32(0x9E3779B1)
+SHIFT = np.uint32(32 - (BUCKETS - 1).bit_length())
+
+
+def grams(spaced: np.ndarray) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of blank-separated tokens, from code points with a blank at both ends; blanks are the ends of tokens.
+
+    A text is read in pieces, so memory does not grow with its length. An n-gram with a blank within it belongs to no token.
+    """
+    for at in range(0, len(spaced), PIECE):
+        code = spaced[at : at + PIECE + LONGEST - 1]
+        solid = code != 32
+        hashed, valid = code, np.ones(len(code), bool)
+        for n in range(2, LONGEST + 1):
+            starts = min(PIECE, len(code) - n + 1)
+            if starts <= 0:
+                break
+            hashed = hashed[:starts] * MULTIPLIER + code[n - 1 : n - 1 + starts]
+            valid = valid[:starts] & solid[n - 2 : n - 2 + starts] if n > 2 else valid[:starts]
+            if n >= SHORTEST:
+                mixed = (hashed ^ (hashed >> 15)) * MULTIPLIER
+                yield mixed[valid] >> SHIFT
+
+
+def features(token: str) -> list[int]:
+    """Buckets of a token and its character n-grams."""
+    return [int(b) for part in buckets([token]) for b in part]
 
 
-def features(token: str) -> Iterator[int]:
-    """Buckets of a token and its character n-grams."""
-    if token == REPEAT:
-        yield crc32(REPEAT.encode()) % BUCKETS
-        return
-    w = f"<{token}>"
-    yield crc32((w + "word").encode("utf-8", "replace")) % BUCKETS
-    for n in range(SHORTEST, LONGEST + 1):
-        for i in range(len(w) - n + 1):
-            yield crc32(w[i : i + n].encode("utf-8", "replace")) % BUCKETS
+def buckets(found: list[str]) -> Iterator[np.ndarray]:
+    """Buckets of all features of a text's tokens, in pieces."""
+    plain = [t for t in found if t != REPEAT]
+    if len(plain) < len(found):
+        yield np.full(len(found) - len(plain), crc32(REPEAT.encode()) % BUCKETS)
+    if plain:
+        joined = " ".join(plain)
+        words = joined.encode("utf-8", "replace").split(b" ")
+        yield np.fromiter(map(crc32, words), np.uint32, len(words)) % BUCKETS
+        yield from grams(np.frombuffer(f" {joined} ".encode("utf-32-le", "replace"), np.uint32))
 
 
 def tokens(text: str) -> list[str]:
@@ -68,19 +94,12 @@ class QualityModel:
     def scorer(self):
         weights = self.weights
 
-        def sums(token: str) -> complex:
+        def score(text: str | None) -> float:
             total, n = 0.0, 0
-            for part in batched(features(token), 4096):  # a token may be as long as its text
-                total += float(weights[list(part)].sum())
+            for part in buckets(tokens(text or "")):
+                total += float(weights[part].sum())
                 n += len(part)
-            return complex(total, n)
-
-        memo = Memo(sums, 100_000, MEMO_TOKEN)
-
-        def score(text: str | None) -> float:
-            found = tokens(text) if text else []
-            total = sum(map(memo.__getitem__, found))
-            mean = total.real / total.imag if found else 0.0
+            mean = total / n if n else 0.0
             return 1 / (1 + math.exp(-max(-50.0, min(50.0, mean + self.bias))))
 
         return score
@@ -98,16 +117,13 @@ def train(samples: Iterable[tuple[str, int]], share: float, epochs: int = 8, rat
 
 def network(samples: Iterable[tuple[str, int]], epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Vectors of all buckets, softmax layer and bias; None without samples of both labels."""
-    memo = Memo(lambda t: np.fromiter(features(t), np.int32), 100_000, MEMO_TOKEN)
     docs, labels = [], []
     for text, label in samples:
-        if found := Counter(tokens(text or "")):
-            parts = [memo[t] for t in found]
-            ids, place = np.unique(np.concatenate(parts), return_inverse=True)
-            weights = np.bincount(place, np.repeat(list(found.values()), [len(p) for p in parts]))
-            docs.append((ids, (weights / weights.sum()).astype(np.float32)))
+        counts = sum((np.bincount(part, minlength=BUCKETS) for part in buckets(tokens(text or ""))), np.zeros(BUCKETS, np.int64))
+        ids = np.flatnonzero(counts)
+        if len(ids):
+            docs.append((ids, (counts[ids] / counts.sum()).astype(np.float32)))
             labels.append(int(label))
-    del memo
     y = np.array(labels)
     if len(set(labels)) < 2:
         return None

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from .bpe import Memo
 from .common import sample_texts
-from .quality import MEMO_TOKEN, share_of_ones
+from .quality import share_of_ones
 from .quality import score as score  # the same Spark operator applies both models
 
 SHORTEST, LONGEST = 3, 6
@@ -31,6 +31,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Bound of the training sample: rows of each label, and the longest text that takes part.
 SAMPLE_PER_LABEL = 1200
 SAMPLE_MAX_CHARS = 60_000
+#: Words longer than this are not kept in a worker's memo.
+MEMO_TOKEN = 64
 #: Standard errors by which an n-gram's document frequencies must differ, and by which those of one that only one label has.
 SIGNIFICANT, ONE_SIDED = 4.5, 3.0
 #: N-grams of sampled texts that are counted at a time; bounds the memory of training.

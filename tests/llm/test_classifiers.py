@@ -19,6 +19,24 @@ def test_quality_learns_symbols_and_repeats():
     assert one("zebra zebra zebra zebra zebra") < one("river road lake bread milk")
 
 
+def test_quality_features_equal_a_plain_definition():
+    def plain(token):
+        codes = [32, *map(ord, token), 32]
+        yield zlib.crc32(token.encode()) % quality.BUCKETS
+        for n in range(quality.SHORTEST, quality.LONGEST + 1):
+            for i in range(len(codes) - n + 1):
+                h = codes[i]
+                for c in codes[i + 1 : i + n]:
+                    h = (h * int(quality.MULTIPLIER) + c) % 2**32
+                yield ((h ^ (h >> 15)) * int(quality.MULTIPLIER) % 2**32) >> int(quality.SHIFT)
+
+    edge = quality.PIECE
+    for text in ("a", "a bc", "é😀 \u00a0x\u2003boat", "w" * (edge - 2), "w" * (edge - 1) + " ab", "ab " * 3 + "x" * (2 * edge) + " a bc", f"{'y' * (edge - 4)} q r s t"):
+        found = text.split()
+        assert sorted(int(b) for part in quality.buckets(found) for b in part) == sorted(b for t in found for b in plain(t))
+    assert list(quality.buckets([])) == []
+
+
 def test_quality_score_equals_a_full_network_pass():
     samples = [("the boat the boat", 1), ("x*** y***", 0), ("a river", 1)]
     table, layer, bias = quality.network(samples, 2, 2.0, 5)
