@@ -1,3 +1,5 @@
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pytest
 
@@ -47,3 +49,51 @@ def test_a_null_feature_stops_the_job(spark, monkeypatch, broadcast):
     for how in ({"x": ["f1"]}, {"vector": "v", "dimensions": 1}):
         with pytest.raises(Exception, match="is null"):
             neighbors.neighbours(df, df.where("id = 1"), 2, "id", "id", **how).collect()
+
+
+def test_few_dimensions_compare_near_boxes_only():
+    rng = np.random.default_rng(7)
+    x = rng.random((20_000, 2))
+    order, starts = neighbors._halved(x[::4], neighbors.BOX_QUERIES)
+    own = np.arange(20_000)[::4][order]
+    search = neighbors._Boxes(x[own], own, starts, 3, 9)
+    found = {}
+    for part in np.array_split(np.arange(20_000), 2):  # blocks of one task
+        for r, c, d2 in search.block(x[part], part, part, True):
+            for i, j, v in zip(r.tolist(), part[c].tolist(), d2.tolist(), strict=True):
+                found.setdefault(i, []).append((v, j))
+    assert search.compared < 0.1 * len(own) * len(x)  # all pairs were compared before
+    for r in range(0, len(own), 137):
+        d2 = ((x - x[own[r]]) ** 2).sum(1)
+        want = [i for i in np.argsort(d2)[:4] if i != own[r]][:3]
+        assert [i for _, i in sorted(found[r])[:3]] == want
+
+
+@pytest.mark.parametrize("rounded", [None, 2])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_boxes_equal_brute_force(spark, monkeypatch, rounded, repeated):
+    monkeypatch.setattr(neighbors, "_by_blocks", None)
+    monkeypatch.setattr(neighbors, "BOX_BLOCK", 40)
+    monkeypatch.setattr(neighbors, "BOX_ROWS", 4)
+    monkeypatch.setattr(neighbors, "BOX_QUERIES", 3)
+    monkeypatch.setattr(neighbors, "BOX_TILE", 50)
+    monkeypatch.setattr(neighbors, "BOX_FOUND", 10)
+    rng = np.random.default_rng(11)
+    points = np.append(rng.integers(0, 5, (200, 3)) * 0.05, rng.normal(0, 1, (100, 3)), axis=0)
+    points[50:90] = points[50]  # equal points
+    odd = {7: np.inf, 8: np.nan, 9: 1e200, 10: -1e150}
+    for i, v in odd.items():
+        points[i, 1] = v
+    ids = [i // 2 if repeated and i < 60 else i for i in range(300)]
+    rows = [(i, *map(float, p)) for i, p in zip(ids, points, strict=True)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(3)
+    asked = [i for i in range(300) if ids[i] % 5 == 0 and not (repeated and i < 60)]
+    near = neighbors.neighbours(df, spark.createDataFrame([rows[i] for i in asked], df.schema), 6, "id", "id", x=["a", "b", "c"], rounded=rounded, leave_out_own=True)
+    want = []
+    with np.errstate(all="ignore"):
+        for q in asked:
+            d2 = [float(sum((points[i][j] - points[q][j]) ** 2 for j in range(3))) for i in range(300)]
+            key = [v if rounded is None or not v < 1e20 else float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-rounded), ROUND_HALF_UP)) for v in d2]
+            able = [i for i in range(300) if ids[i] != ids[q] and d2[i] < np.inf]
+            want += [(ids[q], r + 1, ids[i], key[i]) for r, i in enumerate(sorted(able, key=lambda i: (key[i], ids[i]))[:6])]
+    assert sorted(map(tuple, near.collect())) == sorted(want)
