@@ -8,14 +8,16 @@ and never looked up out of order. For every candidate the entries read so far gi
 * a lower bound: what was read, plus the worst value that is left in each unread list;
 * an upper bound: what was read, plus the value at which each unread list has arrived.
 
-Once few candidates have an upper bound that reaches the k-th best lower bound, reading goes on for these alone,
-round by round to the end of their lists, which gives their exact scores. All queries of a block advance together: a
-round's entries are the non-zero cells of a matrix of gains, and adding them for all queries is a matrix product.
+Once few candidates have an upper bound that reaches the k-th best lower bound, or the k-th best score that the query has
+in other blocks, reading goes on for these alone, round by round to the end of their lists, which gives their exact scores.
+All queries of a block advance together: a round's entries are the non-zero cells of a matrix of gains, which is made once for
+all query blocks, and adding them for all queries is a matrix product. A few queries of each block look at their bounds in every
+round; the others read on without a look to the depth at which half of these ended, the end of the lists if need be.
 
-Candidates are packed into blocks where they are read; queries are packed likewise and their blocks are paired
-with every candidate block by equi-joins on block numbers. A task has its pairs in the order of candidate blocks, so
-lists are built once for all query blocks that it holds. Each pair gives k rows per query at most, and
-these are merged. Work is queries times candidates, as asked; what moves is blocks, not pairs of rows.
+Candidates are packed into blocks where they are read, queries likewise. Tasks are the cells of a grid of parts of the queries and
+parts of the candidates. A task holds its query blocks with their k best so far, builds the lists of one candidate block
+after the other and passes on k rows per query, which are merged. Work is queries times candidates, as asked; what moves is
+blocks, not pairs.
 
 Sums are taken in single precision, double precision or whole numbers of any size, whichever is exact for the block's
 largest values; a score beyond 64 bits stops the job.
@@ -28,9 +30,12 @@ A query never meets its own id. Ties go to the smaller id.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,26 +44,26 @@ from .common import batches_of, stash, unstash
 SCALE = 64
 #: Rows of a packed block of candidates, and of queries.
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
-#: Lists of block numbers, and pairs of blocks in an Arrow batch.
-NUMBER_LISTS, PAIRS = 256, 8
+#: Blocks in an Arrow batch, and query blocks that a task holds.
+BLOCKS, HELD_BLOCKS = 8, 64
+#: Queries that show how deep is to be read, and queries that are read together.
+TRIAL, QUERY_TILE = 8, 256
 #: Depth of each round of reading, as a share of the lists.
 ROUNDS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0)
 
 
-def quantise(vectors: list, scale: int = SCALE) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rows with whole, finite vectors and those vectors as integers."""
-    kept, out = [], []
-    for i, v in enumerate(vectors):
-        if v is None or not len(v):
-            continue
-        try:
-            a = np.array(v, float)
-        except (TypeError, ValueError):
-            continue
-        if np.isfinite(a).all():
-            kept.append(i)
-            out.append(np.floor(scale * a) + 0.0)
-    return np.array(kept, np.int64), out
+def quantise(vectors: pa.Array, scale: int = SCALE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows with whole, finite vectors and those vectors as whole numbers, for each length."""
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)  # null: nan
+    starts = np.cumsum(lengths) - lengths
+    out = []
+    for d in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == d)
+        x = values[starts[rows][:, None] + np.arange(d)]
+        fine = np.isfinite(x).all(1)
+        out.append((rows[fine], np.floor(scale * x[fine]) + 0.0))
+    return out
 
 
 def exact_kind(q: np.ndarray, x: np.ndarray) -> type:
@@ -72,91 +77,162 @@ def whole(x: np.ndarray, kind: type) -> np.ndarray:
 
 
 class SortedLists:
-    """Candidates ``x`` (rows, dimensions) of whole numbers as one sorted list per dimension."""
+    """Candidates ``x`` (rows, dimensions) of whole numbers as one sorted list per dimension; candidates are kept in the order of their ids."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         x = np.ascontiguousarray(x, np.float64)
-        # Equal rows of one id count once; compared bit by bit.
-        _, first = np.unique(np.column_stack([ids, x.view(np.int64)]), axis=0, return_index=True) if len(ids) else (None, np.zeros(0, int))
-        first.sort()
-        self.ids, self.x = ids[first], x[first]
+        at = np.argsort(ids, kind="stable")
+        self.unique = not len(ids) or bool((ids[at[1:]] != ids[at[:-1]]).all())
+        if not self.unique:  # equal rows of one id count once; compared bit by bit
+            _, first = np.unique(np.column_stack([ids, x.view(np.int64)]), axis=0, return_index=True)
+            at = first[np.argsort(ids[first], kind="stable")]
+        self.ids, self.x = np.asarray(ids)[at], x[at]
+        self.unique = len(np.unique(self.ids)) == len(self.ids)
         n, d = self.x.shape
-        order = np.argsort(self.x, axis=0, kind="stable")
+        small = n and np.abs(self.x).max() < 1 << 15  # short numbers are sorted by radix
+        order = np.argsort(self.x.astype(np.int16) if small else self.x, axis=0, kind="stable")
         self.up = np.empty((n, d), np.int32)  # place from the bottom
         np.put_along_axis(self.up, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
         self.sorted = np.take_along_axis(self.x, order, axis=0)
-        self.unique = len(np.unique(self.ids)) == n
-        self.kinds: dict[type, tuple] = {}
-
-    def of(self, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Gains of all entries over the worst value of a list read from the top, of one read from the bottom, and the sorted lists."""
-        if kind not in self.kinds:
-            x, lists = whole(self.x, kind), whole(self.sorted, kind)
-            self.kinds[kind] = (x - lists[0], x - lists[-1], lists)
-        return self.kinds[kind]
-
-    def read(self, positive: np.ndarray, negative: np.ndarray, at: np.ndarray | slice, before: int, depth: int, kind: type) -> np.ndarray:
-        """What the entries at places from ``before`` to ``depth`` of the lists add to the lower bounds of the candidates ``at``."""
-        from_top, from_bottom, _ = self.of(kind)
-        up = self.up[at]
-        down = len(self.ids) - 1 - up
-        zero = kind(0) if kind is not object else 0
-        top = np.where((down >= before) & (down < depth), from_top[at], zero)
-        bottom = np.where((up >= before) & (up < depth), from_bottom[at], zero)
-        return positive @ top.T + negative @ bottom.T
+        self.depths = [min(n, math.ceil(n * share)) for share in ROUNDS]
+        self.kept: dict[tuple, np.ndarray] = {}
 
-    def top(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query: its position, candidate ids and exact scores of its k best, ties to the smaller id."""
-        n, d = self.x.shape
+    def lists(self, kind: type) -> np.ndarray:
+        return self._once(("lists", kind), lambda: whole(self.sorted, kind))
+
+    def _once(self, key: tuple, make: Callable[[], np.ndarray]) -> np.ndarray:
+        if key not in self.kept:
+            self.kept[key] = make()
+        return self.kept[key]
+
+    def gains(self, kind: type, before: int, depth: int) -> np.ndarray:
+        """What the entries at places from ``before`` to ``depth`` of the lists add to the lower bound of their candidates: the
+        gain over the worst value of a list read from the top, then of one read from the bottom; 0 where a list was not read."""
+
+        def make() -> np.ndarray:
+            x, lists = whole(self.x, kind), self.lists(kind)
+            gain = np.hstack([x - lists[0], x - lists[-1]])
+            if before or depth < len(self.ids):
+                place = np.hstack([len(self.ids) - 1 - self.up, self.up])
+                gain[(place < before) | (place >= depth)] = 0
+            return gain
+
+        return self._once((kind, before, depth), make)
+
+    def slack(self, kind: type, depth: int) -> np.ndarray:
+        """What unread entries may add: lists have arrived at ``depth``, and no entry behind is better."""
+
+        def make() -> np.ndarray:
+            lists, n = self.lists(kind), len(self.ids)
+            reach = np.hstack([lists[n - depth] - lists[0], lists[depth - 1] - lists[-1]])
+            return np.where(np.hstack([n - 1 - self.up, self.up]) >= depth, reach, kind(0) if kind is not object else 0)
+
+        return self._once(("slack", kind, depth), make)
+
+    def found(self, query_ids: np.ndarray, q: np.ndarray, k: int, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position of the query, candidate id and exact score of the k best of each query, ties to the smaller id. ``reach`` is
+        the k-th best score of each query in other blocks: lower ones may be left out."""
+        n = len(self.ids)
         if not n or not len(q):
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         kind = exact_kind(q, self.x)
         q = whole(q, kind)
-        positive, negative = np.maximum(q, 0), np.minimum(q, 0)
-        from_top, from_bottom, lists = self.of(kind)
-        lower = np.repeat((positive @ lists[0] + negative @ lists[-1])[:, None], n, axis=1)
-        own = query_ids[:, None] == self.ids[None, :]
-        active = np.arange(len(q))
-        out, need = [], k if self.unique else n
-        depths = [min(n, math.ceil(n * share)) for share in ROUNDS]
-        for step, (before, depth) in enumerate(zip([0, *depths], depths, strict=False)):
-            lower[active] += self.read(positive[active], negative[active], slice(None), before, depth, kind)
+        signed = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
+        asked = _Asked(signed, signed @ np.append(self.lists(kind)[0], self.lists(kind)[-1]), np.searchsorted(self.ids, query_ids), np.searchsorted(self.ids, query_ids, "right"), np.full(len(q), -np.inf) if reach is None else reach, kind, k)
+        rows, since, out = np.arange(len(q)), len(self.depths) - 1, []
+        if self.unique and k < n - 1:
+            # Bounds of a few queries tell how deep is read before any can end; the others look at theirs from there on.
+            trial = rows[:: -(-len(q) // TRIAL)]
+            since = int(np.median(self._read(asked, trial, 0, out)))
+            rows = np.delete(rows, trial)
+        for at in range(0, len(rows), QUERY_TILE):
+            self._read(asked, rows[at : at + QUERY_TILE], since, out)
+        return _best(np.concatenate([np.broadcast_to(r, len(i)) for r, i, _ in out]), np.concatenate([i for _, i, _ in out]), np.concatenate([s.astype(np.int64) for _, _, s in out]), k)
+
+    def _read(self, asked: _Asked, rows: np.ndarray, since: int, out: list) -> np.ndarray:
+        """Reads the lists of some queries round by round, the first of which goes down to the depth number ``since``; gives the round in which each query ended."""
+        n, kind, k = len(self.ids), asked.kind, asked.k
+        lower, before, left = asked.worst[rows][:, None], 0, np.arange(len(rows))
+        ended = np.full(len(rows), len(self.depths) - 1)
+        for step in range(since, len(self.depths)):
+            depth = self.depths[step]
+            lower = lower + asked.signed[rows] @ self.gains(kind, before, depth).T
             if depth == n:
                 break
-            if need >= n - 1:
-                continue
-            # Unread lists have arrived here; a candidate's unread entries are no better.
-            reach_top, reach_bottom = lists[n - depth] - lists[0], lists[depth - 1] - lists[-1]
-            slack = positive[active] @ np.where(n - 1 - self.up >= depth, reach_top, 0).T + negative[active] @ np.where(self.up >= depth, reach_bottom, 0).T
-            worst = np.where(own[active], -np.inf, lower[active].astype(float))
-            kth = np.partition(worst, n - need, axis=1)[:, n - need]
-            qualify = ((lower[active] + slack).astype(float) >= kth[:, None]) & ~own[active]
-            done = qualify.sum(1) <= 4 * need
-            for row, mine in zip(active[done], qualify[done], strict=True):
-                at = np.flatnonzero(mine)
-                score = lower[row, at]
-                for since, until in zip(depths[step:], depths[step + 1 :], strict=False):
-                    score = score + self.read(positive[row : row + 1], negative[row : row + 1], at, since, until, kind)[0]
-                out.append((row, at, score))
-            active = active[~done]
-            if not len(active):
-                break
-        for row in active:
-            at = np.flatnonzero(~own[row])
-            score = lower[row, at]
-            if self.unique and len(at) > k:
-                kth = np.partition(score, len(at) - k)[len(at) - k]
-                at, score = at[score >= kth], score[score >= kth]
-            out.append((row, at, score))
-        best = []
-        for row, at, score in out:
-            ids, score = self.ids[at], score.astype(np.int64)
-            order = np.lexsort((ids, -score))
-            if not self.unique:
-                _, first = np.unique(ids[order], return_index=True)
-                order = order[np.sort(first)]
-            best.append((row, ids[order[:k]], score[order[:k]]))
-        return best
+            before = depth
+            upper = (lower + asked.signed[rows] @ self.slack(kind, depth).T).astype(float)
+            sure = lower.astype(float)
+            for i, (a, b) in enumerate(zip(asked.first[rows], asked.last[rows], strict=True)):
+                sure[i, a:b] = upper[i, a:b] = -np.inf
+            kth = np.maximum(np.partition(sure, n - k, axis=1)[:, n - k], asked.reach[rows])
+            qualify = (upper >= kth[:, None]) & (upper > -np.inf)
+            done = qualify.sum(1) <= 4 * k
+            for i in np.flatnonzero(done):
+                at = np.flatnonzero(qualify[i])
+                score = lower[i, at]
+                for a, b in zip(self.depths[step:], self.depths[step + 1 :], strict=False):
+                    score = score + self.gains(kind, a, b)[at] @ asked.signed[rows[i]]
+                out.append((rows[i], self.ids[at], score))
+            ended[left[done]] = step
+            lower, rows, left = lower[~done], rows[~done], left[~done]
+            if not len(rows):
+                return ended
+        self._select(asked, rows, lower, out)
+        return ended
+
+    def _select(self, asked: _Asked, rows: np.ndarray, score: np.ndarray, out: list) -> None:
+        """The candidates that may be among the k best by their whole scores."""
+        ids, k = self.ids, asked.k
+        order = score.astype(float) if asked.kind is object else score
+        for i, (a, b) in enumerate(zip(asked.first[rows], asked.last[rows], strict=True)):
+            order[i, a:b] = -np.inf
+        if not self.unique:  # an id counts with its best score
+            ids, starts = np.unique(ids, return_index=True)
+            if asked.kind is object:
+                score = np.maximum.reduceat(score, starts, axis=1)
+            order = np.maximum.reduceat(order, starts, axis=1)
+        if asked.kind is not object:
+            score = order
+        cut = np.maximum(asked.reach[rows].astype(order.dtype), np.finfo(order.dtype).min)
+        many = np.flatnonzero(np.count_nonzero(order >= cut[:, None], axis=1) > 4 * k)
+        if len(many) and len(ids) > k:
+            cut[many] = np.maximum(cut[many], np.partition(order[many], len(ids) - k, axis=1)[:, len(ids) - k])
+            if asked.kind is not object:
+                for i in many[np.count_nonzero(order[many] >= cut[many][:, None], axis=1) > 4 * k]:
+                    order[i, np.flatnonzero(order[i] == cut[i])[k:]] = -np.inf  # of equal scores the smaller ids
+        r, c = np.nonzero(order >= cut[:, None])
+        out.append((rows[r], ids[c], score[r, c]))
+
+    def top(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query: its position, candidate ids and exact scores of its k best, ties to the smaller id."""
+        if not len(self.ids):
+            return []
+        rows, ids, scores = self.found(query_ids, q, k)
+        at = np.searchsorted(rows, np.arange(len(q) + 1))
+        return [(row, ids[a:b], scores[a:b]) for row, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+
+
+@dataclass
+class _Asked:
+    """Queries of a block: positive and negative components side by side, scores of the worst values of all lists, places of the
+    query's own id, scores reached elsewhere."""
+
+    signed: np.ndarray
+    worst: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    reach: np.ndarray
+    kind: type
+    k: int
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row in order; an id counts once, with its best score."""
+    order = np.lexsort((~scores, ids, rows))
+    order = order[np.append(True, (np.diff(rows[order]) != 0) | (ids[order][1:] != ids[order][:-1]))[: len(order)]]
+    order = order[np.lexsort((~scores[order], rows[order]))]  # stable: equal scores stay in the order of ids
+    order = order[np.arange(len(order)) - np.searchsorted(rows[order], rows[order]) < k]
+    return rows[order], ids[order], scores[order]
 
 
 def _bytes(x: np.ndarray) -> tuple[str, bytes]:
@@ -174,17 +250,21 @@ def _pack(rows: int, scale: int):
 
         def block(d):
             ids, x = held.pop(d)
-            kind, packed = _bytes(np.array(x))
-            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([packed], pa.binary()), pa.array([kind]), pa.array([d], pa.int32())], names=["ids", "x", "kind", "d"])
+            kind, packed = _bytes(np.concatenate(x))
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).astype(np.int64).tobytes()], pa.binary()), pa.array([packed], pa.binary()), pa.array([kind]), pa.array([d], pa.int32())], names=["ids", "x", "kind", "d"])
 
         for batch in batches:
-            kept, vectors = quantise(batch.column(1).to_pylist(), scale)
-            for i, v in zip(batch.column(0).take(pa.array(kept)).to_pylist(), vectors, strict=True):
-                ids, x = held.setdefault(len(v), ([], []))
-                ids.append(i)
-                x.append(v)
-                if len(ids) == rows:
-                    yield block(len(v))
+            for kept, vectors in quantise(batch.column(1), scale):
+                named = batch.column(0).take(pa.array(kept)).to_numpy(zero_copy_only=False)
+                at, d = 0, vectors.shape[1]
+                while at < len(named):
+                    ids, x = held.setdefault(d, ([], []))
+                    most = rows - sum(map(len, ids))
+                    ids.append(named[at : at + most])
+                    x.append(vectors[at : at + most])
+                    at += most
+                    if sum(map(len, ids)) == rows:
+                        yield block(d)
         for d in list(held):
             yield block(d)
 
@@ -196,17 +276,38 @@ def _numbers(b: bytes, kind: str, d: int) -> np.ndarray:
 
 
 def _match(k: int):
+    """Takes blocks by task, queries before candidates; a task's query blocks are held with their k best, and candidates pass by."""
+
     def run(batches):
-        number, lists = None, None
+        number, held = None, []
+
+        def out():
+            for block in held:
+                rows, ids, scores = block["best"]
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(block["ids"][rows]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for at in range(batch.num_rows):
                 r = {name: batch.column(i)[at].as_py() for i, name in enumerate(batch.schema.names)}
-                if lists is None or r["block"] != number:
-                    number, lists = r["block"], SortedLists(np.frombuffer(r["ids"], np.int64), _numbers(r["x"], r["kind"], r["d"]))
-                query_ids, q = np.frombuffer(r["query_ids"], np.int64), _numbers(r["q"], r["query_kind"], r["d"])
-                found = lists.top(query_ids, q, k)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(i), query_ids[row]) for row, i, _ in found])), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["query_id", "vec_id", "score"])
+                if r["task"] != number:
+                    yield from out()
+                    number, held = r["task"], []
+                ids, x = np.frombuffer(r["ids"], np.int64), _numbers(r["x"], r["kind"], r["d"])
+                if r["side"] == 0:
+                    none = np.zeros(0, np.int64)
+                    held.append({"ids": ids, "q": x, "best": (none, none, none), "reach": np.full(len(ids), -np.inf)})
+                    continue
+                mine = [block for block in held if block["q"].shape[1] == r["d"]]
+                lists = SortedLists(ids, x) if mine else None
+                for block in mine:
+                    more = lists.found(block["ids"], block["q"], k, block["reach"])
+                    if len(more[0]):
+                        block["best"] = _best(*map(np.concatenate, zip(block["best"], more, strict=True)), k)
+                        rows, _, scores = block["best"]
+                        last = np.flatnonzero(np.bincount(rows, minlength=len(block["ids"])) == k)
+                        block["reach"][last] = scores[np.searchsorted(rows, last, "right") - 1]
+        yield from out()
 
     return run
 
@@ -223,17 +324,20 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str =
     # Numbers are given before the blocks are written, so that a lost task's block keeps its number.
     blocks = stash(side(candidates, CANDIDATE_BLOCK).withColumn("block", F.monotonically_increasing_id()), "candidates")
     asked = stash(side(queries, QUERY_BLOCK).withColumn("query_block", F.monotonically_increasing_id()), "queries")
-    # Numbers of blocks are paired first, in lists of bounded length; payloads follow by equi-joins on them.
-    numbers = blocks.groupBy("d", F.pmod(F.xxhash64("block"), F.lit(NUMBER_LISTS)).alias("part")).agg(F.collect_list("block").alias("at"))
-    targets = asked.select("query_block", "d").join(numbers, "d").select("query_block", F.explode("at").alias("block"))
-    wanted = asked.select("query_block", F.col("ids").alias("query_ids"), F.col("x").alias("q"), F.col("kind").alias("query_kind"))
-    pairs = targets.join(wanted, "query_block").join(blocks, "block")
-    # Query blocks of a candidate block go to as many tasks as keep all of them busy.
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = -(-2 * width // max(1, blocks.count()))
-    dealt = pairs.repartition(width, "block", F.pmod(F.xxhash64("query_block"), F.lit(spread))).sortWithinPartitions("block")
-    ordered = dealt.select("block", "ids", "x", "kind", "d", "query_ids", "q", "query_kind")
-    with batches_of(spark, PAIRS):
+    # Tasks are cells of a grid of parts of the queries and parts of the candidates: a block goes to each cell of its part, so blocks move, not pairs.
+    width, n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), asked.count()
+    across = max(-(-n // HELD_BLOCKS), min(n, math.isqrt(2 * width)), 1)
+    down = max(1, min(blocks.count(), -(-2 * width // across)))
+
+    def dealt(df: DataFrame, number: str, parts: int, side: int, others: int, step: int, other_step: int) -> DataFrame:
+        # The partition that wrote a block and its place there: neighbours go to different parts.
+        part = F.pmod(F.shiftright(number, 33) + F.col(number).bitwiseAND((1 << 33) - 1), F.lit(parts)).cast("int")
+        tasks = F.transform(F.sequence(F.lit(0), F.lit(others - 1)), lambda other: part * step + other * other_step)
+        return df.select(F.explode(tasks).alias("task"), F.lit(side).alias("side"), F.col(number).alias("number"), "ids", "x", "kind", "d")
+
+    both = dealt(asked, "query_block", across, 0, down, 1, across).unionAll(dealt(blocks, "block", down, 1, across, across, 1))
+    ordered = both.repartitionById(across * down, F.col("task")).sortWithinPartitions("task", "side", "number").drop("number")
+    with batches_of(spark, BLOCKS):
         local = stash(ordered.mapInArrow(_match(k), "query_id long, vec_id long, score long"), "found")
     for done in (blocks, asked):
         unstash(done)

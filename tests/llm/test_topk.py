@@ -104,3 +104,50 @@ def test_operator_on_large_vectors_and_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df.where("vec_id in (20, 40)"), df, 6).collect())
     assert got == brute([r for r in rows if r[0] in (20, 40)], rows, 6)
+
+
+def test_few_queries_look_at_bounds_where_none_can_end():
+    rng = np.random.default_rng(8)
+    n, d, k = 3000, 48, 10
+    x = np.floor(rng.normal(0, 8, (n, d)))
+    x[2000:] = x[1500]  # equal scores
+    lists, seen = topk.SortedLists(np.arange(n), x), []
+    inner = np.partition
+    np.partition = lambda a, *b, **c: seen.append(a.size) or inner(a, *b, **c)
+    try:
+        rows, ids, scores = lists.found(np.arange(300), x[:300], k)
+    finally:
+        np.partition = inner
+    assert sum(seen) < 2 * 300 * n  # each round was cut for all queries before, about 5 times
+    for row in range(0, 300, 7):
+        want = sorted((-int(s), i) for i, s in enumerate(x @ x[row]) if i != row)[:k]
+        assert list(zip((-scores[rows == row]).tolist(), ids[rows == row].tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("structured", [False, True])
+def test_scores_reached_elsewhere_leave_out_lower_ones(structured):
+    rng = np.random.default_rng(9)
+    x = np.floor(rng.normal(0, 8, (900, 3 if structured else 20)))
+    if structured:
+        x[:8] += 300
+    q, k, held, reach = x[:40], 5, None, np.full(40, -np.inf)
+    for part in np.array_split(rng.permutation(900), 3):
+        more = topk.SortedLists(part, x[part]).found(np.arange(40), q, k, reach)
+        held = more if held is None else topk._best(*map(np.concatenate, zip(held, more, strict=True)), k)
+        assert held[0].tolist() == np.repeat(np.arange(40), k).tolist()
+        reach = held[2][k - 1 :: k].astype(float)
+    for row in range(40):
+        want = sorted((-int(s), i) for i, s in enumerate(x @ x[row]) if i != row)[:k]
+        assert list(zip((-held[2][held[0] == row]).tolist(), held[1][held[0] == row].tolist(), strict=True)) == want
+
+
+def test_operator_over_many_blocks(spark, monkeypatch):
+    for name, value in (("CANDIDATE_BLOCK", 16), ("QUERY_BLOCK", 4), ("HELD_BLOCKS", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(10)
+    rows = [(i, [float(v) for v in rng.normal(0, 0.2, 3 if i % 3 else 5)]) for i in range(400)]
+    rows += [(400 + i, rows[40][1]) for i in range(60)]  # copies of a query
+    rows += [(i, [float(v) for v in rng.normal(0, 0.2, 3)]) for i in range(0, 90, 3)]  # ids with several vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df.where("vec_id % 5 = 0"), df, 7).collect())
+    assert got == brute([r for r in rows if r[0] % 5 == 0], rows, 7)
